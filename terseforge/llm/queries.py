@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terseforge.llm.langid import document_languages, label_faults
 from terseforge.llm.sentences import sentence_units
 from terseforge.runtime import table
 
@@ -22,8 +23,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(articles.unionByName(units), "record_id", "text", keep=("record_table",))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of documents in several languages, or whose label is missing or wrong."""
+    return label_faults(document_languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang"), "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found}
+    return {"p4_found": p4_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -216,7 +216,7 @@ def sentence_units(df: DataFrame, key: str, text: str, lang: str | None = None,
     small_batches(df.sparkSession)
     names = [*keep, key]
     source = df.where(F.col(text).isNotNull()).select(*[F.col(n) for n in names], F.col(text).alias("__text"))
-    schema = source.select(*names).schema.add("start_pos", "int").add("end_pos", "int")
+    schema = source.select(*names).schema.add("start_pos", "integer").add("end_pos", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
