@@ -36,7 +36,8 @@ CLIP = 5.0
 #: Cost (nats) of changing the language between two sentences; evidence below it is taken for noise.
 SWITCH = 6.0
 
-WORD = re.compile(r"[ぁ-ゟ]+|[゠-ヿ]+|[㐀-鿿]+|[^\W\d_぀-ヿ㐀-鿿]+")
+# Letters that stand among digits (hexadecimal lines, versions, addresses) are no word.
+WORD = re.compile(r"[ぁ-ゟ]+|[゠-ヿ]+|[㐀-鿿]+|(?<![\w/=])[^\W\d_぀-ヿ㐀-鿿]++(?![0-9_])")
 _MARKER = re.compile(r"^(?:human|gpt|user|assistant|system)\s*:\s*", re.I)
 _CITATION = re.compile(r"<(?:cit|ref)\.>")
 _LONGEST = 12  # longest piece that is looked up, in characters

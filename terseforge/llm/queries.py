@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terseforge.llm.langid import document_languages, label_faults
+from terseforge.llm.leaks import leaks
+from terseforge.llm.pieces import boundary_tables, cut_levels, piece_offsets, table_ranges
 from terseforge.llm.sentences import sentence_units
+from terseforge.llm.tokens import mixture, token_counts
 from terseforge.runtime import table
 
 
@@ -23,13 +26,84 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(articles.unionByName(units), "record_id", "text", keep=("record_table",))
 
 
+def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundary tables of every item over the limit: article texts, their sections, contexts."""
+    articles, contexts = table(spark, sf_dir, "articles"), table(spark, sf_dir, "contexts")
+
+    def items(df: DataFrame, name: str, key: str, section: Column, text: str) -> DataFrame:
+        return df.select(F.lit(name).alias("item_table"), F.col(key).alias("item_id"), section.cast("int").alias("section_no"), F.col(text).alias("text"))
+
+    sections = articles.select("row_id", F.posexplode("sections").alias("no", "section"))
+    every = [items(articles, "articles", "row_id", F.lit(-1), "text"), items(sections, "sections", "row_id", F.col("no"), "section"), items(contexts, "contexts", "context_id", F.lit(-1), "context")]
+    return boundary_tables(table_ranges(every[0].unionByName(every[1]).unionByName(every[2]), ITEM, "text"), ITEM)
+
+
+ITEM = ["item_table", "item_id", "section_no"]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items over 6,000 characters and the coarsest boundary that alone brings them under it."""
+    return cut_levels(_oversized(spark, sf_dir), ITEM)
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the items over 6,000 characters, by offset."""
+    return piece_offsets(_oversized(spark, sf_dir), ITEM)
+
+
+def p6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every context."""
+    return token_counts(table(spark, sf_dir, "contexts"), ["context_id"], "context")
+
+
+def p6_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and tokens by dataset_type, language and domain, of all rows and of each source text once.
+
+    A source text is an entry of a dataset; of its contexts the longest in tokens stands for it (the
+    unreduced one). Dataset types are matched without case, outer blanks; languages by their first
+    two letters; what is null is "unknown". Contexts are added up per entry before the domain is joined.
+    """
+    named = table(spark, sf_dir, "contexts").select(
+        "context_id", "context", "entry_id",
+        F.coalesce(F.nullif(F.lower(F.trim("dataset_type")), F.lit("")), F.lit("unknown")).alias("dataset_type"),
+        F.coalesce(F.nullif(F.lower(F.substring(F.trim("lang"), 1, 2)), F.lit("")), F.lit("unknown")).alias("lang"),
+    )
+    counts = token_counts(named, ["context_id", "dataset_type", "lang", "entry_id"], "context")
+    per_entry = counts.groupBy("dataset_type", "lang", "entry_id").agg(F.count("*").alias("n_texts"), F.sum("n_tokens").alias("n_tokens"), F.max(F.struct("n_tokens", (-F.col("context_id")).alias("k"))).alias("longest"))
+    once = per_entry.groupBy("dataset_type", "entry_id").agg(F.max(F.struct("longest", "lang")).alias("m")).select("dataset_type", F.col("m.lang").alias("lang"), "entry_id", F.lit(1).cast("bigint").alias("n_texts"), F.col("m.longest.n_tokens").alias("n_tokens"), F.lit("source_texts").alias("scope"))
+    both = per_entry.select("dataset_type", "lang", "entry_id", "n_texts", "n_tokens", F.lit("all_rows").alias("scope")).unionByName(once)
+    domains = table(spark, sf_dir, "articles").where(F.col("primary_category").isNotNull()).groupBy("entry_id").agg(F.max_by("primary_category", F.struct("crawled_at", "row_id")).alias("domain"))
+    joined = both.join(domains, "entry_id", "left").withColumn("domain", F.coalesce("domain", F.lit("unknown")))
+    return joined.groupBy("scope", "dataset_type", "lang", "domain").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of documents that make up the mixture."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and evaluation items with twelve or more consecutive words in common."""
+    return p7_leaks(spark, sf_dir).where(F.col("kind") == "verbatim").select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items of every document, verbatim or re-parameterised, with their windows."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of documents in several languages, or whose label is missing or wrong."""
     return label_faults(document_languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang"), "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p9_found": p9_found}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_budget": p6_budget, "p6_tokens": p6_tokens, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
