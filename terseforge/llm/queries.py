@@ -9,12 +9,37 @@ from pyspark.sql import functions as F
 
 from terseforge.llm.langid import document_languages, label_faults
 from terseforge.llm.leaks import leaks
+from terseforge.llm.neardup import groups, near_duplicates, record_pairs
 from terseforge.llm.pieces import boundary_tables, cut_levels, piece_offsets, table_ranges
 from terseforge.llm.sentences import sentence_units
 from terseforge.llm.tokens import mixture, token_counts
 from terseforge.runtime import table
 
 
+RECORD = ["record_table", "id"]
+
+
+def _record_duplicates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Near-duplicates of articles and of whole conversations: three words, similarity 0.6."""
+    articles = table(spark, sf_dir, "articles").select(F.lit("articles").alias("record_table"), F.col("row_id").alias("id"), "text", F.lit(False).alias("markup"))
+    turns = table(spark, sf_dir, "conv_turns").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    # Rows sent twice fall together before the shuffle; should their texts differ, one of them counts.
+    said = turns.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "text"))).alias("said"))
+    once = F.filter("said", lambda x, i: (i == 0) | (x["turn"] != F.get("said", i - 1)["turn"]))
+    conversations = said.select(F.lit("conv_turns").alias("record_table"), F.col("conv_id").alias("id"), F.array_join(F.transform(once, lambda x: x["text"]), " ").alias("text"), F.lit(True).alias("markup"))
+    return near_duplicates(articles.unionByName(conversations), RECORD, "text", threshold=0.6, size=3, markup="markup")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records that share at least 0.6 of their runs of three words, copies included."""
+    return record_pairs(*_record_duplicates(spark, sf_dir), RECORD)
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record's group of near-duplicates and number of links."""
+    return groups(*_record_duplicates(spark, sf_dir), RECORD)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence unit of the articles and of the sentence rows of lexical_units."""
     articles = table(spark, sf_dir, "articles").select(F.lit("articles").alias("record_table"), F.col("row_id").alias("record_id"), "text")
@@ -103,7 +128,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_budget": p6_budget, "p6_tokens": p6_tokens, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found}
+    return {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_budget": p6_budget, "p6_tokens": p6_tokens, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
