@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terseforge.llm.answers import defective_pairs
 from terseforge.llm.langid import document_languages, label_faults
 from terseforge.llm.leaks import leaks
 from terseforge.llm.neardup import groups, near_duplicates, record_pairs
@@ -16,6 +17,13 @@ from terseforge.llm.tokens import mixture, token_counts
 from terseforge.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question and answer pairs whose answer is unusable, with the type of the defect."""
+    contexts = table(spark, sf_dir, "contexts").select(F.col("context_id").alias("id"), F.col("context").alias("text"), "lang")
+    questions = table(spark, sf_dir, "question_bank").select(F.col("question_id").alias("id"), F.col("question").alias("text"), "lang")
+    return defective_pairs(table(spark, sf_dir, "qa_answers"), [contexts, questions])
+
+
 RECORD = ["record_table", "id"]
 
 
@@ -128,7 +136,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_budget": p6_budget, "p6_tokens": p6_tokens, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_budget": p6_budget, "p6_tokens": p6_tokens, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
