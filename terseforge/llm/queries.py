@@ -11,6 +11,7 @@ from terseforge.llm.answers import defective_pairs
 from terseforge.llm.langid import document_languages, label_faults
 from terseforge.llm.leaks import leaks
 from terseforge.llm.neardup import groups, near_duplicates, record_pairs
+from terseforge.llm.pii import personal_data, redacted
 from terseforge.llm.pieces import boundary_tables, cut_levels, piece_offsets, table_ranges
 from terseforge.llm.sentences import sentence_units
 from terseforge.llm.tokens import mixture, token_counts
@@ -48,6 +49,26 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(*_record_duplicates(spark, sf_dir), RECORD)
 
 
+UTTERANCE = ["record_table", "record_id", "turn"]
+
+
+def _utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored utterance of the turns and of the conversation articles."""
+    turns = table(spark, sf_dir, "conv_turns").select(F.lit("conv_turns").alias("record_table"), F.col("turn_id").alias("record_id"), F.col("turn").cast("int").alias("turn"), "text")
+    said = table(spark, sf_dir, "conversation_articles").select("conv_id", F.posexplode("context").alias("turn", "c"))
+    return turns.unionByName(said.select(F.lit("conversation_articles").alias("record_table"), F.col("conv_id").alias("record_id"), "turn", F.col("c.utterance").alias("text")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of personal data in the stored utterances."""
+    return personal_data(_utterances(spark, sf_dir), UTTERANCE, "text")
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every utterance with typed placeholders in the place of its personal data."""
+    return redacted(_utterances(spark, sf_dir), UTTERANCE, "text")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence unit of the articles and of the sentence rows of lexical_units."""
     articles = table(spark, sf_dir, "articles").select(F.lit("articles").alias("record_table"), F.col("row_id").alias("record_id"), "text")
@@ -136,7 +157,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_budget": p6_budget, "p6_tokens": p6_tokens, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_budget": p6_budget, "p6_tokens": p6_tokens, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
