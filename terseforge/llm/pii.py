@@ -369,7 +369,7 @@ class Field:
 
 
 def _joints(text: str, starts: list[int], ends: list[int]) -> list[int]:
-    return [0 if s == e else (2 if "\n" in text[e:s] else 1) for s, e in zip(starts, [0, *ends[:-1]], strict=True)]
+    return [0 if s == e else (2 if "\n" in text[e:s] else 1) for s, e in zip(starts, [0, *ends], strict=False)]
 
 
 def _labels(starts: list[int], ends: list[int], spans: list[tuple[int, int, str]]) -> list[int]:
