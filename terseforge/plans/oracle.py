@@ -228,7 +228,7 @@ def statements() -> dict[str, str]:
  ql AS (SELECT entry_id, string_agg(i || '. ' || question, {_NL} ORDER BY i) AS questions FROM q GROUP BY 1)
  SELECT context_id, 'Passage: ' || context || {_NL} || 'Questions: ' || questions || {_NL} || 'Answers:' AS prompt FROM contexts JOIN ql USING (entry_id) WHERE context IS NOT NULL""",
         "postprocess_answers": f"WITH a AS (SELECT answer_id, task_name, answer, {_FAMILY} AS family FROM qa_answers WHERE answer IS NOT NULL) SELECT answer_id, family, {_CLEAN} AS answer FROM a",
-        "pending_work": "SELECT w.entry_id, w.context_type FROM (SELECT DISTINCT entry_id, context_type FROM contexts WHERE entry_id IS NOT NULL) w ANTI JOIN (SELECT * FROM qa_answers WHERE answer IS NOT NULL) d ON d.entry_id = w.entry_id AND d.context_type = w.context_type",
+        "pending_work": "SELECT w.* FROM (SELECT DISTINCT entry_id, context_type, mask_ratio FROM contexts WHERE entry_id IS NOT NULL) w ANTI JOIN (SELECT * FROM qa_answers WHERE answer IS NOT NULL) d ON d.entry_id = w.entry_id AND d.context_type = w.context_type AND d.mask_ratio = w.mask_ratio",
         "answer_pairs": f"WITH {APAIRS} SELECT o.answer_id, o.dataset, o.task_name, o.context_type, o.mask_ratio, o.answer, r.reference FROM aoth o JOIN aref r ON o.dataset = r.dataset AND o.entry_id = r.entry_id AND o.task_name = r.task_name AND o.model_type = r.model_type AND o.question = r.question",
         "rouge1": f"WITH {PAIRS}, {RTOK}, {_rouge(1, '1')} SELECT context_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM rouge1",
         "rouge2": f"WITH {PAIRS}, {RTOK}, {_rouge(2, '2')} SELECT context_id, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM rouge2",

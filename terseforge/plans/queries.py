@@ -69,11 +69,12 @@ def published_range(spark: SparkSession, sf: str) -> DataFrame:
     return rows.orderBy(F.desc("at"), "row_id").limit(8000).select("row_id", "entry_id", F.date_format("at", "yyyyMMddHHmmss").alias("published"))
 
 
-_BODY = T.collapse(F.col("text"))
+def _body() -> Column:
+    return T.collapse(F.col("text"))
 
 
 def _sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return U.sentence_rows(table(spark, sf, "documents"), "doc_id", _BODY)
+    return U.sentence_rows(table(spark, sf, "documents"), "doc_id", _body())
 
 
 def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,11 +82,11 @@ def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.size(T.sentences(_BODY)).cast("bigint").alias("n_sentences"))
+    return table(spark, sf, "documents").select("doc_id", F.size(T.sentences(_body())).cast("bigint").alias("n_sentences"))
 
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return U.token_rows(table(spark, sf, "documents"), "doc_id", _BODY)
+    return U.token_rows(table(spark, sf, "documents"), "doc_id", _body())
 
 
 def tokenize(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +99,7 @@ def token_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 def length_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Documents of at most 300 tokens; a null text is dropped."""
-    n = F.aggregate(F.transform(T.sentences(_BODY), lambda s: F.size(T.tokens(s))), F.lit(0), lambda a, x: a + x)
+    n = F.aggregate(F.transform(T.sentences(_body()), lambda s: F.size(T.tokens(s))), F.lit(0), lambda a, x: a + x)
     return table(spark, sf, "documents").select("doc_id", n.cast("bigint").alias("n_tokens")).where("n_tokens <= 300")
 
 
@@ -316,8 +317,8 @@ def postprocess_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pending_work(spark: SparkSession, sf: str) -> DataFrame:
-    """Entry and context type pairs of the contexts for which no answer is stored."""
-    keys = ["entry_id", "context_type"]
+    """Entries, context types and ratios of the contexts for which no answer is stored."""
+    keys = ["entry_id", "context_type", "mask_ratio"]
     work = table(spark, sf, "contexts").select(*keys).where("entry_id is not null").distinct()
     return K.pending(work, table(spark, sf, "qa_answers").where("answer is not null"), keys)
 
