@@ -18,7 +18,7 @@ from terseforge.operators import units as U
 from terseforge.plans import conversations as C
 from terseforge.plans import reports as R
 from terseforge.plans import tasks as K
-from terseforge.runtime import table
+from terseforge.runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 RATIOS = (0.2, 0.35, 0.5, 0.65, 0.8)
@@ -74,7 +74,7 @@ def _body() -> Column:
 
 
 def _sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return U.sentence_rows(table(spark, sf, "documents"), "doc_id", _body())
+    return U.sentence_rows(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", _body())
 
 
 def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,7 +86,7 @@ def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return U.token_rows(table(spark, sf, "documents"), "doc_id", _body())
+    return U.token_rows(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", _body())
 
 
 def tokenize(spark: SparkSession, sf: str) -> DataFrame:
