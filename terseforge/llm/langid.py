@@ -28,7 +28,7 @@ from terseforge.runtime import small_batches
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru", "zh", "ja")
 #: Bounds of the labelled sample that the piece probabilities are fitted on.
-SAMPLE_DOCS, SAMPLE_CHARS = 4000, 3000
+SAMPLE_DOCS, SAMPLE_CHARS = 3000, 1500
 #: Folder of the public tokenizers' files, and the vocabulary used here.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Most that one word may tell against a language (nats), so that no name decides a sentence.

@@ -15,14 +15,14 @@ from terseforge.llm.pii import personal_data, redacted
 from terseforge.llm.pieces import boundary_tables, cut_levels, piece_offsets, table_ranges
 from terseforge.llm.sentences import sentence_units
 from terseforge.llm.tokens import mixture, token_counts
-from terseforge.runtime import table
+from terseforge.runtime import spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question and answer pairs whose answer is unusable, with the type of the defect."""
     contexts = table(spark, sf_dir, "contexts").select(F.col("context_id").alias("id"), F.col("context").alias("text"), "lang")
     questions = table(spark, sf_dir, "question_bank").select(F.col("question_id").alias("id"), F.col("question").alias("text"), "lang")
-    return defective_pairs(table(spark, sf_dir, "qa_answers"), [contexts, questions])
+    return defective_pairs(spread(table(spark, sf_dir, "qa_answers").select("answer_id", "question", "answer")), [contexts, questions])
 
 
 RECORD = ["record_table", "id"]
@@ -30,7 +30,7 @@ RECORD = ["record_table", "id"]
 
 def _record_duplicates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Near-duplicates of articles and of whole conversations: three words, similarity 0.6."""
-    articles = table(spark, sf_dir, "articles").select(F.lit("articles").alias("record_table"), F.col("row_id").alias("id"), "text", F.lit(False).alias("markup"))
+    articles = spread(table(spark, sf_dir, "articles").select("row_id", "text")).select(F.lit("articles").alias("record_table"), F.col("row_id").alias("id"), "text", F.lit(False).alias("markup"))
     turns = table(spark, sf_dir, "conv_turns").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     # Rows sent twice fall together before the shuffle; should their texts differ, one of them counts.
     said = turns.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "text"))).alias("said"))
@@ -54,7 +54,7 @@ UTTERANCE = ["record_table", "record_id", "turn"]
 
 def _utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored utterance of the turns and of the conversation articles."""
-    turns = table(spark, sf_dir, "conv_turns").select(F.lit("conv_turns").alias("record_table"), F.col("turn_id").alias("record_id"), F.col("turn").cast("int").alias("turn"), "text")
+    turns = spread(table(spark, sf_dir, "conv_turns").select("turn_id", "turn", "text")).select(F.lit("conv_turns").alias("record_table"), F.col("turn_id").alias("record_id"), F.col("turn").cast("int").alias("turn"), "text")
     said = table(spark, sf_dir, "conversation_articles").select("conv_id", F.posexplode("context").alias("turn", "c"))
     return turns.unionByName(said.select(F.lit("conversation_articles").alias("record_table"), F.col("conv_id").alias("record_id"), "turn", F.col("c.utterance").alias("text")))
 
@@ -71,7 +71,7 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sentence unit of the articles and of the sentence rows of lexical_units."""
-    articles = table(spark, sf_dir, "articles").select(F.lit("articles").alias("record_table"), F.col("row_id").alias("record_id"), "text")
+    articles = spread(table(spark, sf_dir, "articles").select("row_id", "text")).select(F.lit("articles").alias("record_table"), F.col("row_id").alias("record_id"), "text")
     units = (
         table(spark, sf_dir, "lexical_units")
         .where(F.col("unit_type") == "sent")
@@ -133,12 +133,12 @@ def p6_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of documents that make up the mixture."""
-    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+    return mixture(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), table(spark, sf_dir, "mix_targets"))[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and reached share of every source."""
-    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+    return mixture(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), table(spark, sf_dir, "mix_targets"))[1]
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,12 +148,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaked items of every document, verbatim or re-parameterised, with their windows."""
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of documents in several languages, or whose label is missing or wrong."""
-    return label_faults(document_languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang"), "doc_id")
+    return label_faults(document_languages(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), "doc_id", "text", "lang"), "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
