@@ -70,6 +70,15 @@ def chunk_ids(rows: DataFrame, key: str, words: tuple[str, ...] = BOUNDARY_WORDS
     return rows.withColumn("hard", hard).withColumn("starts", starts).withColumn("phrase_idx", F.sum("starts").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("hard", "starts")
 
 
+def plain_chunks(rows: DataFrame, key: str, words: tuple[str, ...] = ()) -> DataFrame:
+    """Every token a phrase of its own, as for scripts without noun chunks."""
+    return rows.withColumn("phrase_idx", F.col("pos").cast("bigint"))
+
+
+#: Chunkers by name; a registered one adds phrase_idx to token rows.
+CHUNKERS = {"boundary": chunk_ids, "plain": plain_chunks}
+
+
 def aligned(tokens: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
     """Credits token self-information to units that tile the same string: ``keys``, unit, self_info.
 
@@ -95,9 +104,9 @@ def sentence_units(tokens: DataFrame, key: str) -> DataFrame:
     return made.select(key, "sent_idx", F.array_join(F.transform("u", lambda x: x["token"]), "").alias("text"), "self_info")
 
 
-def phrase_units(tokens: DataFrame, key: str) -> DataFrame:
+def phrase_units(tokens: DataFrame, key: str, chunker: str = "boundary") -> DataFrame:
     """key, sent_idx, phrase_idx, text, self_info; later sentences' first phrases get a blank in front."""
-    made = chunk_ids(tokens, key).groupBy(key, "sent_idx", "phrase_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("u"), F.avg("self_info").alias("self_info"))
+    made = CHUNKERS[chunker](tokens, key).groupBy(key, "sent_idx", "phrase_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("u"), F.avg("self_info").alias("self_info"))
     text = F.array_join(F.transform("u", lambda x: x["token"]), "")
     return made.select(key, "sent_idx", "phrase_idx", F.when((F.col("sent_idx") > 0) & (F.col("phrase_idx") == 0), F.concat(F.lit(" "), text)).otherwise(text).alias("text"), "self_info")
 

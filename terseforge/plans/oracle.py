@@ -166,11 +166,27 @@ APAIRS = """ar AS (SELECT answer_id, lower(trim(dataset_type)) AS dataset, entry
  aref AS (SELECT dataset, entry_id, task_name, model_type, question, arg_min(answer, answer_id) AS reference FROM ar WHERE context_type = 'no' GROUP BY ALL),
  aoth AS (SELECT dataset, entry_id, task_name, model_type, question, context_type, mask_ratio, arg_min(answer, answer_id) AS answer, min(answer_id) AS answer_id FROM ar WHERE context_type <> 'no' GROUP BY ALL)"""
 
+ACELLS = f"""{APAIRS}, pairs AS (SELECT o.answer_id AS context_id, o.dataset, o.task_name, o.context_type, o.mask_ratio, o.answer AS context, r.reference FROM aoth o
+   JOIN aref r ON o.dataset = r.dataset AND o.entry_id = r.entry_id AND o.task_name = r.task_name AND o.model_type = r.model_type AND o.question = r.question), {RTOK}, {_rouge(1, '1')}"""
+
 HEAT = f"""WITH {LEXS}, hp AS (SELECT *, CASE WHEN self_info <> 100 THEN pow(self_info, 1.2) END AS p FROM ls),
  hw AS (SELECT *, min(p) OVER (PARTITION BY unit_id) AS lo, max(p) OVER (PARTITION BY unit_id) AS hi, quantile_cont(self_info, 0.5) OVER (PARTITION BY unit_id) AS med FROM hp),
  heated AS (SELECT unit_id, pos, text, CASE WHEN self_info = 100 THEN 100.0 WHEN hi > lo THEN 100 * (p - lo) / (hi - lo) ELSE 0.0 END AS heat, self_info > med AS high FROM hw)"""
 
 
+def _article_contexts() -> str:
+    body = _collapse("replace(replace(sections[1], '<cit.>', ''), '<ref>', '')")
+    toks = f"list_sum(list_transform(ss, lambda x: len(regexp_extract_all(x, {_TOK}))))"
+    first = f"fs AS (SELECT row_id, {body} AS body FROM articles WHERE len(sections) > 0), first AS (SELECT * FROM fs WHERE {_strip('body')} <> '')"
+    rows = f"""toks AS (SELECT row_id, sent_idx, unnest(regexp_extract_all(sentence, {_TOK})) AS token, generate_subscripts(regexp_extract_all(sentence, {_TOK}), 1) - 1 AS pos FROM sent WHERE row_id IN (SELECT row_id FROM short))"""
+    return f"""WITH {first},{_sentences('first', 'row_id', 'body')}, lists AS (SELECT row_id, list(sentence) AS ss FROM sent GROUP BY 1), short AS (SELECT row_id FROM lists WHERE {toks} <= 1800),
+ {rows}, {MODEL}, scored AS (SELECT t.*, m.self_info FROM toks t JOIN model m USING (token)),
+ su AS (SELECT row_id, sent_idx, string_agg(token, '' ORDER BY pos) AS text, avg(self_info) AS self_info FROM scored GROUP BY 1, 2),
+ masked AS (WITH {_mask('su', 'u.sent_idx', ' ', key='row_id', by=_LEAD)})
+ SELECT row_id, 'no' AS context_type, body AS context, false AS context_masked, -1 AS n_masked FROM first JOIN short USING (row_id)
+ UNION ALL SELECT row_id, 'self-info', context, true, n_masked FROM masked"""
+
+
 def statements() -> dict[str, str]:
     """SQL by query name."""
     return {
@@ -213,6 +229,10 @@ def statements() -> dict[str, str]:
         "reduced_ratio": f"WITH {PAIRS} SELECT context_id, dataset, context_type, mask_ratio, {_SAVED} AS reduced FROM pairs",
         "reduced_ratio_means": f"WITH {PAIRS}, r AS (SELECT dataset, context_type, mask_ratio, {_SAVED} AS reduced FROM pairs) SELECT dataset, context_type, mask_ratio, round(avg(reduced) + 1e-9, 6) AS reduced FROM r GROUP BY 1, 2, 3",
         "experiment_grid": "SELECT d.dataset, t.col0 AS task, m.col0 AS model, r.col0::DOUBLE AS ratio FROM (SELECT DISTINCT lower(trim(dataset_type)) AS dataset FROM contexts WHERE dataset_type IS NOT NULL) d, (VALUES ('summarisation'), ('qa'), ('reconstruction')) t, (VALUES ('gpt-a'), ('llama-x-7b')) m, (VALUES (0.2), (0.35), (0.5), (0.65), (0.8)) r",
+        "article_contexts": _article_contexts(),
+        "unit_slice": "SELECT unit_id, array_to_string(list_concat(list_slice(text, 1, 50), list_slice(text, 361, 421)), '|') AS shown FROM lexical_units WHERE text IS NOT NULL",
+        "task_ratio_table": f"WITH {ACELLS} SELECT context_type AS method, task_name AS task, mask_ratio AS ratio, round(avg(f1), 6) AS rouge1 FROM pairs JOIN rouge1 USING (context_id) GROUP BY 1, 2, 3",
+        "source_ratio_table": f"WITH {ACELLS} SELECT context_type AS method, dataset, mask_ratio AS ratio, round(avg(f1), 6) AS rouge1 FROM pairs JOIN rouge1 USING (context_id) GROUP BY 1, 2, 3",
         "conversation_lines": f"WITH {TURNS}, {LINES} SELECT conv_id, turn, {_LINE} AS line FROM lines",
         "conversation_articles": f"WITH {TURNS}, {LINES}, {ROUNDS} SELECT conv_id, num_rounds, string_agg({_LINE}, chr(10) ORDER BY turn) AS text FROM lines JOIN rounds USING (conv_id) GROUP BY 1, 2",
         "conversation_prompt": f"WITH {TURNS}, {LINES}, {ROUNDS} SELECT conv_id, coalesce(string_agg(l || chr(10), '' ORDER BY turn) FILTER (WHERE turn < last), '') || 'gpt: ' AS prompt FROM lines JOIN rounds USING (conv_id) GROUP BY 1",

@@ -15,6 +15,7 @@ from terseforge.functions import text as T
 from terseforge.operators import masking as M
 from terseforge.operators import metrics as E
 from terseforge.operators import units as U
+from terseforge.plans import contexts as X
 from terseforge.plans import conversations as C
 from terseforge.plans import reports as R
 from terseforge.plans import tasks as K
@@ -238,6 +239,21 @@ def experiment_grid(spark: SparkSession, sf: str) -> DataFrame:
     return cells
 
 
+def article_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """Contexts of the articles' first sections: unmasked, and masked by score at sentence level."""
+    texts = X.first_sections(spread(table(spark, sf, "articles").select("row_id", "sections")))
+    rows = U.token_rows(X.within_length(texts), "row_id", F.col("body"))
+    model = U.unigram_model(rows).withColumn("self_info", _six("self_info"))
+    made = X.generate_context(texts, "row_id", "no").unionByName(X.generate_context(texts, "row_id", "self-info", "sent", 0.35, model=model))
+    return made.select("row_id", "context_type", "context", "context_masked", F.coalesce(F.size("masked_units"), F.lit(-1)).cast("bigint").alias("n_masked"))
+
+
+def unit_slice(spark: SparkSession, sf: str) -> DataFrame:
+    """The units that the printed figure shows: the first fifty and the sixty-one from 361 on."""
+    shown = F.concat(F.slice("text", 1, 50), F.slice("text", 361, 61))
+    return table(spark, sf, "lexical_units").where("text is not null").select("unit_id", F.array_join(shown, "|").alias("shown"))
+
+
 # --- conversations ------------------------------------------------------------------------------
 
 
@@ -401,6 +417,21 @@ def transpose_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("metric", *[_six(c).alias(n) for c, n in (("self-info", "self_info"), ("Random", "random"), ("no2", "no2"))])
 
 
+def _answer_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """ROUGE-1 of every answer under a masked context against the answer under the unmasked one."""
+    pairs = _answer_pairs(spark, sf)
+    scores = E.rouge_n(pairs, "answer_id", "answer", "reference", 1).select("answer_id", F.col("f1").alias("rouge1"))
+    return pairs.select("answer_id", "dataset", F.col("task_name").alias("task"), F.col("context_type").alias("method"), F.col("mask_ratio").alias("ratio")).join(scores, "answer_id")
+
+
+def task_ratio_table(spark: SparkSession, sf: str) -> DataFrame:
+    return R.mean_by(_answer_cells(spark, sf), ["method", "task", "ratio"], ["rouge1"]).withColumn("rouge1", _six("rouge1"))
+
+
+def source_ratio_table(spark: SparkSession, sf: str) -> DataFrame:
+    return R.mean_by(_answer_cells(spark, sf), ["method", "dataset", "ratio"], ["rouge1"]).withColumn("rouge1", _six("rouge1"))
+
+
 def random_repair(spark: SparkSession, sf: str) -> DataFrame:
     """Random contexts replaced by the context of the other ratio where the entry has one, else kept."""
     rows = _reference_pairs(spark, sf).where("context_type = 'Random'").select("context_id", "dataset", "entry_id", "mask_ratio", "context")
@@ -453,9 +484,9 @@ def stream_compress(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     named = (
         beautify, strip_citations, latex_comment_strip, section_split, doc_id_tail, published_range, sentence_split, sentence_counts, tokenize, token_offsets, length_filter, limit_after_filter,
-        unigram_self_info, bigram_self_info, token_units, sent_units, phrase_units, align_tokens, dataset_stats, masked_units, mask_sent_lead3, mask_random, threshold_by_ratio, context_grid, reduced_ratio, reduced_ratio_means, experiment_grid,
+        unigram_self_info, bigram_self_info, token_units, sent_units, phrase_units, align_tokens, dataset_stats, masked_units, mask_sent_lead3, mask_random, threshold_by_ratio, context_grid, reduced_ratio, reduced_ratio_means, experiment_grid, article_contexts, unit_slice,
         conversation_lines, conversation_articles, conversation_prompt, conversation_last_response, conversation_roles, conversation_units, conversation_mask,
-        prompts_summarise, prompts_reconstruct, prompts_continue, prompts_qa, postprocess_answers, pending_work, generated_reconstructions, answer_pairs, bleu, ordered_metrics, by_ratio_table, method_task_avg, gap_table, gap_table_fmt, transpose_metrics, random_repair,
+        prompts_summarise, prompts_reconstruct, prompts_continue, prompts_qa, postprocess_answers, pending_work, generated_reconstructions, answer_pairs, bleu, ordered_metrics, by_ratio_table, method_task_avg, gap_table, gap_table_fmt, transpose_metrics, task_ratio_table, source_ratio_table, random_repair,
         unit_score_stats, heat_units, heatmap_latex, low_score_runs, resume_scoring, html_text, stream_compress,
     )
     out: dict[str, Query] = {f.__name__: f for f in named}
