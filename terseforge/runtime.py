@@ -38,8 +38,9 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, so that long texts never fill a Python worker."""
+    """Bound the rows and bytes of an Arrow batch, so that long texts never fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
 
 
 def durable(df: DataFrame) -> DataFrame:
