@@ -6,13 +6,15 @@ tables: a summary of its stretches per boundary level, and one cut for every slo
 item's ranges are stitched in order: lengths are prefix-summed to offsets, stretches that cross a
 range are completed, and each piece runs from the cut before (less the overlap) to its own cut.
 
-Slots make the cuts independent of each other: a slot is at most (limit - overlap) / 2 long and has
-exactly one cut, at the coarsest boundary in it and the last of that level, so two neighbouring cuts
-are never more than limit - overlap apart.
+Pieces are packed from boundary offsets alone: each cut is the farthest paragraph boundary that keeps
+the limit, else the farthest sentence boundary, else white space, else the limit itself. An item of
+many ranges is packed in blocks of ``BLOCK`` ranges at once; a block ends at the coarsest last boundary
+within reach of its end, which its successor finds from the range that both are given.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -28,6 +30,8 @@ LIMIT, OVERLAP = 6000, 200
 #: Characters of a range, and of the halo on each of its sides.
 RANGE, HALO = 20_000, 1_500
 LEVELS = ("paragraph", "sentence", "space")
+#: Ranges that are packed together: the most that one task gathers of an item, as offsets.
+BLOCK = 64
 
 _BLANK_LINE = re.compile(r"\n[^\S\n]*\n\s*")
 _SPACE = re.compile(r"\s+")
@@ -76,50 +80,63 @@ def summaries(chunk: str, lo: int, hi: int, found: dict[str, list[tuple[int, int
     return out
 
 
-def cuts(chunk: str, lo: int, hi: int, found: dict[str, list[tuple[int, int]]], limit: int, overlap: int) -> list[tuple[int, str]]:
-    """One (offset in the range, level) per slot of [lo, hi)."""
-    step = (limit - overlap) // 2
-    slots = max(1, math.ceil((hi - lo) / step))
-    edges = [lo + (hi - lo) * k // slots for k in range(slots + 1)]
-    chosen: list[tuple[int, str] | None] = [None] * slots
-    for level in LEVELS[:2]:
-        for _, b in found[level]:
-            if lo < b <= hi:
-                k = min(slots - 1, (b - lo - 1) * slots // (hi - lo))
-                while b > edges[k + 1]:
-                    k += 1
-                while b <= edges[k]:
-                    k -= 1
-                if chosen[k] is None or chosen[k][1] == level:
-                    chosen[k] = (b - lo, level)
-    for k, c in enumerate(chosen):
-        if c is None:
-            at = edges[k + 1]
-            while at > edges[k] and not chunk[at - 1].isspace():
-                at -= 1
-            chosen[k] = (at - lo, "space") if at > edges[k] else (edges[k + 1] - lo, "none")
-    return chosen  # type: ignore[return-value]
+def spaces(chunk: str, lo: int, hi: int, step: int) -> list[int]:
+    """The place after the last white space of each stretch of ``step`` characters in [lo, hi)."""
+    out = []
+    for start in range(lo, hi, step):
+        at = end = min(hi, start + step)
+        while at > start and not chunk[at - 1].isspace():
+            at -= 1
+        if at > start or end == start:
+            out.append(at - lo)
+    return out
+
+
+def packed(begin: int, end: int, levels: list[list[int]], reach: int) -> list[tuple[int, str]]:
+    """Cuts (offset, level) that divide (begin, end] into stretches of at most ``reach``; the last is ``end``."""
+    out: list[tuple[int, str]] = []
+    at = begin
+    while end - at > reach:
+        cut, name = at + reach, "none"
+        for places, level in zip(levels, LEVELS, strict=True):
+            k = bisect.bisect_right(places, at + reach) - 1
+            if k >= 0 and places[k] > at:
+                cut, name = places[k], level
+                break
+        out.append((cut, name))
+        at = cut
+    if end > at:
+        out.append((end, "end"))
+    return out
+
+
+def block_end(length: int, levels: list[list[int]], reach: int) -> tuple[int, str]:
+    """Where a block of ``length`` characters ends: its coarsest last boundary within reach of its end."""
+    for places, level in zip(levels, LEVELS, strict=True):
+        if places and places[-1] > length - reach:
+            return places[-1], level
+    return length, "none"
 
 
 def table_ranges(df: DataFrame, keys: list[str], text: str, limit: int = LIMIT, size: int = RANGE, halo: int = HALO) -> DataFrame:
-    """Ranges of the items over the limit: keys, range_no, lead (characters of halo before), own, chunk."""
+    """Ranges of the items over the limit: keys, range_no, final, lead (characters of halo before), own, chunk."""
     long = df.where(F.length(text) > limit).select(*keys, F.col(text).alias("__t"), F.length(text).alias("__n"))
     each = long.select(*keys, "__t", "__n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__n") / size).cast("int") - 1)).alias("range_no"))
     start = F.col("range_no") * size
     lead = F.least(start, F.lit(halo))
-    return each.select(*keys, F.col("range_no").cast("bigint").alias("range_no"), lead.alias("lead"), F.least(F.lit(size), F.col("__n") - start).alias("own"), F.substring("__t", start - lead + 1, F.lit(size + 2 * halo)).alias("chunk"))
+    return each.select(*keys, F.col("range_no").cast("bigint").alias("range_no"), (start + size >= F.col("__n")).alias("final"), lead.alias("lead"), F.least(F.lit(size), F.col("__n") - start).alias("own"), F.substring("__t", start - lead + 1, F.lit(size + 2 * halo)).alias("chunk"))
 
 
 def file_ranges(spark: SparkSession, paths: list[str], size: int = RANGE * 50, halo: int = HALO * 4) -> DataFrame:
-    """Byte ranges of UTF-8 files on a shared file system: path, range_no, lead, own, chunk, first_byte.
+    """Byte ranges of UTF-8 files on a shared file system: path, range_no, final, lead, own, chunk, first_byte.
 
     A worker opens the file and reads only its range and the halos; a code point belongs to the range
     in which its first byte lies.
     """
     import os
 
-    rows = [(p, k, k * size, min(size, os.path.getsize(p) - k * size)) for p in paths for k in range(max(1, math.ceil(os.path.getsize(p) / size)))]
-    plan = spark.createDataFrame(rows, "path string, range_no bigint, first_byte bigint, bytes bigint").repartition(max(1, min(len(rows), 10_000)), "path", "range_no")
+    rows = [(p, k, k * size, min(size, os.path.getsize(p) - k * size), (k + 1) * size >= os.path.getsize(p)) for p in paths for k in range(max(1, math.ceil(os.path.getsize(p) / size)))]
+    plan = spark.createDataFrame(rows, "path string, range_no bigint, first_byte bigint, bytes bigint, final boolean").repartition(max(1, min(len(rows), 10_000)), "path", "range_no")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,28 +151,31 @@ def file_ranges(spark: SparkSession, paths: list[str], size: int = RANGE * 50, h
                 while end < len(data) and data[end] & 0xC0 == 0x80:
                     end += 1
                 before, own, after = (data[a:b].decode("utf-8", "ignore") for a, b in ((0, at), (at, end), (end, len(data))))
-                yield pa.RecordBatch.from_pylist([{"path": row["path"], "range_no": row["range_no"], "lead": len(before), "own": len(own), "chunk": before + own + after, "first_byte": begin + at}], schema=pa.schema([("path", pa.string()), ("range_no", pa.int64()), ("lead", pa.int32()), ("own", pa.int32()), ("chunk", pa.string()), ("first_byte", pa.int64())]))
+                yield pa.RecordBatch.from_pylist([{"path": row["path"], "range_no": row["range_no"], "final": row["final"], "lead": len(before), "own": len(own), "chunk": before + own + after, "first_byte": begin + at}], schema=pa.schema([("path", pa.string()), ("range_no", pa.int64()), ("final", pa.bool_()), ("lead", pa.int32()), ("own", pa.int32()), ("chunk", pa.string()), ("first_byte", pa.int64())]))
 
-    return plan.mapInArrow(read, "path string, range_no bigint, lead int, own int, chunk string, first_byte bigint")
+    return plan.mapInArrow(read, "path string, range_no bigint, final boolean, lead int, own int, chunk string, first_byte bigint")
 
 
 _SUMMARY = "struct<head:int,tail:int,longest:int>"
 
 
 def boundary_tables(ranges: DataFrame, keys: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """keys, range_no, own, first and last (non-blank offsets), levels (summaries), cuts; texts end here."""
+    """keys, range_no, final, own, first and last (non-blank offsets), levels (summaries), places; texts end here.
+
+    ``places`` has the offsets in the range of each level's boundaries; of white space it has the last
+    of every quarter of a piece.
+    """
     small_batches(ranges.sparkSession, 200)
-    source = ranges.select(*keys, "range_no", "own", "lead", "chunk")
+    source = ranges.select(*keys, "range_no", "final", "own", "lead", "chunk")
     n = len(keys)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[: n])
-    schema = f"{ddl}, range_no bigint, own bigint, first int, last int, levels array<{_SUMMARY}>, cuts array<struct<at:int,level:string>>"
+    schema = f"{ddl}, range_no bigint, final boolean, own bigint, first int, last int, levels array<{_SUMMARY}>, places array<array<int>>"
     level_kind = pa.list_(pa.struct([("head", pa.int32()), ("tail", pa.int32()), ("longest", pa.int32())]))
-    cut_kind = pa.list_(pa.struct([("at", pa.int32()), ("level", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owns, firsts, lasts, levels, all_cuts = [], [], [], [], []
-            for own, lead, chunk in zip(*(batch.column(n + k).to_pylist() for k in (1, 2, 3)), strict=True):
+            owns, firsts, lasts, levels, places = [], [], [], [], []
+            for own, lead, chunk in zip(*(batch.column(n + k).to_pylist() for k in (2, 3, 4)), strict=True):
                 lo, hi = lead, lead + own
                 found = boundaries(chunk, lo, hi)
                 mine = chunk[lo:hi]
@@ -164,10 +184,11 @@ def boundary_tables(ranges: DataFrame, keys: list[str], limit: int = LIMIT, over
                 firsts.append(None if blank else len(mine) - len(mine.lstrip()))
                 lasts.append(None if blank else len(mine.rstrip()))
                 levels.append([dict(zip(("head", "tail", "longest"), s, strict=True)) for s in summaries(chunk, lo, hi, found, limit)])
-                all_cuts.append([{"at": a, "level": v} for a, v in (cuts(chunk, lo, hi, found, limit, overlap) if own else [])])
+                # A stretch that ends in this range may begin again in the next one: then the cut lies at the range's end.
+                places.append([*[sorted({min(b, hi) - lo for _, b in found[v]}) for v in LEVELS[:2]], spaces(chunk, lo, hi, max(1, (limit - overlap) // 4))])
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in range(n + 1)], pa.array(owns, pa.int64()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32()), pa.array(levels, level_kind), pa.array(all_cuts, cut_kind)],
-                names=[*keys, "range_no", "own", "first", "last", "levels", "cuts"],
+                [*[batch.column(k) for k in range(n + 2)], pa.array(owns, pa.int64()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32()), pa.array(levels, level_kind), pa.array(places, pa.list_(pa.list_(pa.int32())))],
+                names=[*keys, "range_no", "final", "own", "first", "last", "levels", "places"],
             )
 
     return source.mapInArrow(run, schema)
@@ -199,16 +220,51 @@ def cut_levels(tables: DataFrame, keys: list[str], limit: int = LIMIT) -> DataFr
     return items.select(*keys, F.coalesce(F.when(F.col("__last").isNull(), "space"), level).alias("cut_level"))
 
 
-def piece_offsets(tables: DataFrame, keys: list[str], overlap: int = OVERLAP) -> DataFrame:
-    """keys, piece_no, start_pos, end_pos, cut_level (of the piece's end; ``end`` for the last)."""
-    order = Window.partitionBy(*keys).orderBy("cut_at")
-    flat = _placed(tables, keys).select(*keys, "base", F.inline("cuts")).select(*keys, (F.col("base") + F.col("at")).alias("cut_at"), "level")
-    whole = tables.groupBy(*keys).agg(F.sum("own").alias("length"))
-    # The last slot's cut is replaced by the item's end, so the piece before it keeps the bound.
-    ranked = flat.withColumn("__next", F.lead("cut_at").over(order)).withColumn("__last", F.lag("cut_at").over(order)).withColumn("piece_no", (F.row_number().over(order) - 1).cast("bigint"))
-    joined = ranked.join(whole, keys)
-    start = F.greatest(F.coalesce("__last", F.lit(0)) - F.when(F.col("__last").isNull(), 0).otherwise(overlap), F.lit(0))
-    return joined.select(*keys, "piece_no", start.alias("start_pos"), F.when(F.col("__next").isNull(), F.col("length")).otherwise(F.col("cut_at")).alias("end_pos"), F.when(F.col("__next").isNull(), "end").otherwise(F.col("level")).alias("cut_level"))
+def piece_offsets(tables: DataFrame, keys: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """keys, piece_no, start_pos, end_pos, cut_level (of the piece's end; ``end`` for the last).
+
+    Two neighbours share ``overlap`` characters, or all of the first if it is shorter. Only offsets move.
+    """
+    reach = limit - overlap
+    per_block = BLOCK
+    block = F.floor(F.col("range_no") / per_block)
+    # The last range of a block is given to the next one too, which begins where this block ends.
+    shared = F.when((F.col("range_no") % per_block == per_block - 1) & ~F.col("final"), F.array(block, block + 1)).otherwise(F.array(block))
+    placed = _placed(tables, keys).select(*keys, "range_no", "final", "own", "base", "places", F.explode(shared).alias("__block"))
+    packs = placed.groupBy(*keys, "__block").agg(F.array_sort(F.collect_list(F.struct("range_no", "base", "own", "final", "places"))).alias("u"))
+    n = len(keys)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packs.schema[: n])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, begins, ends, names = [], [], [], []
+            blocks = batch.column(n).to_pylist()
+            for i, parts in enumerate(batch.column(n + 1).to_pylist()):
+                own = [p for p in parts if p["range_no"] // per_block == blocks[i]]
+                levels = [[p["base"] + x for p in parts for x in p["places"][k]] for k in range(len(LEVELS))]
+                begin = 0
+                if len(own) < len(parts):
+                    before = parts[0]
+                    begin = before["base"] + block_end(before["own"], before["places"], reach)[0]
+                if not own:
+                    continue
+                last = own[-1]
+                end, level = last["base"] + last["own"], "end"
+                if not last["final"]:
+                    at, level = block_end(last["own"], last["places"], reach)
+                    end = last["base"] + at
+                for cut, name in packed(begin, end, levels, reach):
+                    rows.append(i)
+                    begins.append(begin)
+                    ends.append(cut)
+                    names.append(level if name == "end" else name)
+                    begin = cut
+            at = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(n)], pa.array(begins, pa.int64()), pa.array(ends, pa.int64()), pa.array(names, pa.string())], names=[*keys, "__begin", "end_pos", "cut_level"])
+
+    found = packs.mapInArrow(run, f"{ddl}, __begin bigint, end_pos bigint, cut_level string")
+    order = Window.partitionBy(*keys).orderBy("end_pos")
+    return found.select(*keys, (F.row_number().over(order) - 1).cast("bigint").alias("piece_no"), F.greatest(F.col("__begin") - overlap, F.lit(0)).alias("start_pos"), "end_pos", "cut_level")
 
 
 def piece_texts(df: DataFrame, offsets: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -89,10 +89,12 @@ def test_cut_level_against_whole_text(spark):
             assert got[i] == want, (i, size)
 
 
-def test_pieces_cover_overlap_and_keep_the_limit(spark):
+@pytest.mark.parametrize(("block", "size"), [(64, 20_000), (1, 20_000), (2, 7_000)])
+def test_pieces_cover_overlap_and_keep_the_limit(spark, monkeypatch, block, size):
     texts = _long_texts()
     df = _items(spark, texts)
-    offsets = pieces.piece_offsets(pieces.boundary_tables(pieces.table_ranges(df, ["id"], "text"), ["id"]), ["id"])
+    monkeypatch.setattr(pieces, "BLOCK", block)
+    offsets = pieces.piece_offsets(pieces.boundary_tables(pieces.table_ranges(df, ["id"], "text", size=size), ["id"]), ["id"])
     by: dict[int, list] = {}
     for r in pieces.piece_texts(df, offsets, ["id"], "text").orderBy("id", "piece_no").collect():
         by.setdefault(r["id"], []).append(r)
@@ -104,6 +106,8 @@ def test_pieces_cover_overlap_and_keep_the_limit(spark):
             assert 0 < r["end_pos"] - r["start_pos"] <= pieces.LIMIT and r["piece"] == t[r["start_pos"] : r["end_pos"]]
         for a, b in zip(rows, rows[1:], strict=False):
             assert a["end_pos"] - b["start_pos"] == pieces.OVERLAP or b["start_pos"] == 0
+    assert {r["cut_level"] for r in by[0]} == {"paragraph", "end"} and {r["cut_level"] for r in by[1]} == {"sentence", "end"}
+    assert {r["cut_level"] for r in by[2]} == {"none", "end"} and {r["cut_level"] for r in by[3]} == {"space", "end"}
 
 
 def test_file_ranges_equal_the_table(spark, tmp_path):

@@ -52,15 +52,17 @@ def test_judgements_do_not_fail(t):
         answers.opening(said)
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.text(st.sampled_from("ab .\n"), min_size=1, max_size=400), st.integers(40, 120))
-def test_one_cut_per_slot(t, limit):
-    overlap = limit // 10
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("ab .\n"), min_size=1, max_size=600), st.integers(40, 120))
+def test_packed_stretches_keep_the_reach(t, reach):
     found = pieces.boundaries(t, 0, len(t))
-    cut = pieces.cuts(t, 0, len(t), found, limit, overlap)
-    places = [a for a, _ in cut]
-    assert places == sorted(places) and all(0 < a <= len(t) for a in places)
-    assert all(b - a <= limit - overlap for a, b in zip([0, *places], places, strict=False))
+    levels = [sorted({b for _, b in found[v]}) for v in pieces.LEVELS[:2]] + [pieces.spaces(t, 0, len(t), reach // 4)]
+    cut = pieces.packed(0, len(t), levels, reach)
+    places = [0, *[a for a, _ in cut]]
+    assert places[-1] == len(t) and all(0 < b - a <= reach for a, b in zip(places, places[1:], strict=False))
+    for (a, _), (b, level) in zip([(0, ""), *cut], cut, strict=False):
+        if level in ("sentence", "space", "none"):  # no coarser boundary would have done
+            assert not any(a < x <= a + reach for x in levels[0])
 
 
 @settings(max_examples=100, deadline=None)
