@@ -44,6 +44,5 @@ def model_tokens(sentences: DataFrame, key: str, name: str) -> DataFrame:
 def bigram_tokens(rows: DataFrame, key: str, model: DataFrame, broadcast_rows: int = U.BROADCAST_ROWS) -> DataFrame:
     """Token rows scored by their predecessor in the sentence; the table is broadcast if its size allows it."""
     w = Window.partitionBy(key, "sent_idx").orderBy("pos")
-    small = model.limit(broadcast_rows + 1).count() <= broadcast_rows
-    table = model.select("prev", "token", "self_info")
-    return rows.withColumn("prev", F.coalesce(F.lag("token").over(w), F.lit("<s>"))).join(F.broadcast(table) if small else table, ["prev", "token"]).drop("prev")
+    table = U.held(model.select("prev", "token", "self_info"), broadcast_rows)
+    return rows.withColumn("prev", F.coalesce(F.lag("token").over(w), F.lit("<s>"))).join(table, ["prev", "token"]).drop("prev")

@@ -54,11 +54,18 @@ def bigram_model(rows: DataFrame, key: str, weight: float = 0.7) -> DataFrame:
     return joined.select("prev", "token", "n", (-F.ln(p)).alias("self_info"))
 
 
+def held(model: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The model table ready to join: fetched once and broadcast if it has at most ``most`` rows, else as it is.
+
+    Fetching it, bounded, spares the plan that made it a second run.
+    """
+    table = model.limit(most + 1).toArrow()
+    return F.broadcast(model.sparkSession.createDataFrame(table, model.schema)) if table.num_rows <= most else model
+
+
 def scored(rows: DataFrame, model: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Token rows with self_info. The model is broadcast only if its size, counted first, allows it."""
-    model = model.select("token", "self_info")
-    small = model.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return rows.join(F.broadcast(model) if small else model, "token")
+    """Token rows with self_info. The model is broadcast only if its size, found first, allows it."""
+    return rows.join(held(model.select("token", "self_info"), broadcast_rows), "token")
 
 
 def chunk_ids(rows: DataFrame, key: str, words: tuple[str, ...] = BOUNDARY_WORDS) -> DataFrame:
