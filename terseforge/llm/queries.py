@@ -34,7 +34,7 @@ def _record_duplicates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     turns = table(spark, sf_dir, "conv_turns").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     # Rows sent twice fall together before the shuffle; should their texts differ, one of them counts.
     said = turns.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "text"))).alias("said"))
-    once = F.filter("said", lambda x, i: (i == 0) | (x["turn"] != F.get("said", i - 1)["turn"]))
+    once = F.filter("said", lambda x, i: (i == 0) | ~x["turn"].eqNullSafe(F.get("said", i - 1)["turn"]))
     conversations = said.select(F.lit("conv_turns").alias("record_table"), F.col("conv_id").alias("id"), F.array_join(F.transform(once, lambda x: x["text"]), " ").alias("text"), F.lit(True).alias("markup"))
     return near_duplicates(articles.unionByName(conversations), RECORD, "text", threshold=0.6, size=3, markup="markup")
 
