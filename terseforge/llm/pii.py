@@ -546,6 +546,8 @@ class Decoder:
             part = part[np.argsort(sizes[part], kind="stable")]
             for i, path in zip(part, self._viterbi(em, part, ends, sizes), strict=True):
                 self._spans(texts[i], cut[i][1], cut[i][2], path, out[i])
+                if out[i]:
+                    out[i] = repeated(texts[i], out[i])
         return out
 
     def _viterbi(self, em: np.ndarray, part: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
@@ -603,6 +605,8 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]+(?:[’'][^\W\d_]+)?"
 _NAME = re.compile(rf"(?:{_CAP}(?:-{_CAP})?, {_CAP}|{_CAP}(?: [A-ZА-ЯЁ]\.)? {_CAP}(?:-{_CAP})?)(?: [A-ZА-ЯЁ]\.(?=\W|$))?")
 _SMALL_NAME = re.compile(r"[^\W\dA-Z_]{2,}(?: [^\W\d_]\.)?,? [^\W\dA-Z_]{2,}(?:-[^\W\dA-Z_]+)?|[㐀-鿿]{2,4}|[㐀-鿿]{1,3}[ァ-ヿ]{1,8}")
+_NEXT_SENTENCE = re.compile(r"(?<!Ave)(?<!Rd)(?<!St)(?<!ул)(?<!д)(?<!кв)(?<!str)\.\s+(?=[^\W\d_])")
+_NAME_BEFORE = re.compile(rf"{_CAP}, (?=\d|Flat|PO Box|Apt)")
 _CJK_ADDRESS = re.compile(r"[぀-ヿ㐀-鿿]{1,12}?[路街道巷町市区县県]\d+(?:号|丁目\d+番地|番地|番)?(?:\d+室)?")
 _TITLE = re.compile(r"^(?:mr|mrs|ms|dr|prof|m|mme|sr|sra|herr|frau|don|doña|dona)\b\.?\s", re.I)
 
@@ -633,11 +637,30 @@ def fitted(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None
     if _CJK.search(text, start, end):
         m = _CJK_ADDRESS.search(text, start, end + 1)
         return m.span() if m else None
+    stop = _NEXT_SENTENCE.search(text, start, end)
+    end = stop.start() if stop else end
+    before = _NAME_BEFORE.match(text, start, end)
+    start = before.end() if before else start
     if not any(c.isdigit() for c in text[start:end]) or not any(c.isalpha() for c in text[start:end]):
         return None
     return (start, end) if start < end else None
 
 
+def repeated(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans and every further place where the same words stand by themselves."""
+    more = []
+    for s, e, kind in spans:
+        said = text[s:e]
+        at = text.find(said)
+        while kind != "address" and at >= 0:
+            end = at + len(said)
+            alone = not (at and text[at - 1].isalnum() and said[0].isalnum()) and not (end < len(text) and text[end].isalnum() and said[-1].isalnum())
+            if alone and not any(a < end and at < b for a, b, _ in spans + more):
+                more.append((at, end, kind))
+            at = text.find(said, end)
+    return sorted(spans + more)
+
+
 _DECODERS: list[Decoder] = []
 
 
