@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +23,18 @@ def session(app: str = "terseforge", cores: str | None = None) -> SparkSession:
     )
 
 
+def reachable(spark: SparkSession) -> None:
+    """Puts this package on the path of the Python workers, wherever the driver was started from."""
+    root = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data folder, whole."""
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +50,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows and bytes of an Arrow batch, so that long texts never fill a Python worker."""
+    reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
 
