@@ -205,6 +205,8 @@ class Scorer:
         counts = np.empty(len(texts), np.int64)
         for i, t in enumerate(texts):
             found = WORD.findall(t)
+            if not any(len(w) > 1 or "぀" <= w <= "鿿" for w in found):
+                found = []  # single letters among signs are no words
             counts[i] = len(found)
             words += found
         out = np.zeros((len(texts), len(LANGUAGES)))
