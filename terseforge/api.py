@@ -21,7 +21,7 @@ def compress(df: DataFrame, key: str = "doc_id", text: str = "text", ratio: floa
 
     ``ratio`` is a share of units, not of characters. ``scorer`` is "unigram", "bigram" or a
     registered model; ``model`` is a frozen table of the first two, and without it one is counted
-    from ``df`` itself. Texts of more than ``max_tokens`` tokens, null and blank ones drop out.
+    from ``df`` itself. Words that the table has not counted get the score of a count of zero. Texts of more than ``max_tokens`` tokens, null and blank ones drop out.
     """
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}, not {level!r}")
@@ -35,9 +35,9 @@ def compress(df: DataFrame, key: str = "doc_id", text: str = "text", ratio: floa
     if scorer in ("unigram", "bigram"):
         rows = U.token_rows(kept, key, F.col("__body"))
         if scorer == "unigram":
-            tokens = U.scored(rows, U.unigram_model(rows) if model is None else model)
+            tokens = U.scored(rows, U.unigram_model(rows) if model is None else model, complete=model is None)
         else:
-            tokens = scorers.bigram_tokens(rows, key, U.bigram_model(rows, key) if model is None else model)
+            tokens = scorers.bigram_tokens(rows, key, U.bigram_model(rows, key) if model is None else model, complete=model is None)
     else:
         tokens = scorers.model_tokens(U.sentence_rows(kept, key, F.col("__body")), key, scorer)
     if level == "sent":

@@ -14,6 +14,8 @@ from terseforge.functions import text as T
 
 #: A model table of at most this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Weight of the bigram in the interpolation with the unigram.
+WEIGHT = 0.7
 #: Boundary words of the default chunker: a phrase ends before and after them.
 # Fixed values.
 BOUNDARY_WORDS = ("the", "a", "an", "and", "or", "but", "of", "in", "on", "at", "to", "for", "from", "with", "by", "as", "is", "are", "was", "were", "that", "which", "while", "although", "if", "we", "it", "they", "he", "she", "not")
@@ -42,7 +44,7 @@ def unigram_model(rows: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(total)).select("token", "n", (-F.ln((F.col("n") + 1) / (F.col("all") + F.col("kinds")))).alias("self_info"))
 
 
-def bigram_model(rows: DataFrame, key: str, weight: float = 0.7) -> DataFrame:
+def bigram_model(rows: DataFrame, key: str, weight: float = WEIGHT) -> DataFrame:
     """prev, token, n, self_info: bigrams interpolated with unigrams; a sentence starts after "<s>"."""
     w = Window.partitionBy(key, "sent_idx").orderBy("pos")
     pairs = rows.withColumn("prev", F.coalesce(F.lag("token").over(w), F.lit("<s>"))).groupBy("prev", "token").agg(F.count("*").alias("n"))
@@ -63,9 +65,23 @@ def held(model: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(model.sparkSession.createDataFrame(table, model.schema)) if table.num_rows <= most else model
 
 
-def scored(rows: DataFrame, model: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Token rows with self_info. The model is broadcast only if its size, found first, allows it."""
-    return rows.join(held(model.select("token", "self_info"), broadcast_rows), "token")
+def scored(rows: DataFrame, model: DataFrame, broadcast_rows: int = BROADCAST_ROWS, complete: bool = False) -> DataFrame:
+    """Token rows with self_info. The model is broadcast only if its size, found first, allows it.
+
+    A token that the model has not counted gets what add-one smoothing gives a count of zero, or, where
+    the model's scores are not those of its counts, its highest self_info. ``complete`` says that the
+    model was counted on these rows, so that none is missing.
+    """
+    counted = "n" in model.columns
+    table = held(model.select("token", *["n"] * (counted and not complete), "self_info"), broadcast_rows)
+    if complete:
+        return rows.join(table, "token")
+    floor = F.coalesce(F.max("self_info"), F.lit(0.0))
+    if counted:
+        zero, each = F.ln(F.sum("n") + F.count("*")), F.col("self_info") + F.ln(F.col("n") + 1)
+        floor = F.when((F.abs(F.min(each) - zero) < 1e-3) & (F.abs(F.max(each) - zero) < 1e-3), zero).otherwise(floor)
+    found = rows.join(table.select("token", "self_info"), "token", "left").join(F.broadcast(table.agg(floor.alias("__floor"))))  # one row
+    return found.withColumn("self_info", F.coalesce("self_info", "__floor")).drop("__floor")
 
 
 def chunk_ids(rows: DataFrame, key: str, words: tuple[str, ...] = BOUNDARY_WORDS) -> DataFrame:

@@ -36,7 +36,7 @@ def scored_units(texts: DataFrame, key: str, level: str, body: str = "body", mod
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}, not {level!r}")
     rows = U.token_rows(texts, key, F.col(body))
-    tokens = U.scored(rows, U.unigram_model(rows) if model is None else model)
+    tokens = U.scored(rows, U.unigram_model(rows) if model is None else model, complete=model is None)
     if level == "sent":
         return U.unit_arrays(U.sentence_units(tokens, key), key, ["sent_idx"])
     if level == "phrase":

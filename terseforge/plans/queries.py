@@ -123,7 +123,7 @@ def bigram_self_info(spark: SparkSession, sf: str) -> DataFrame:
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     rows = _tokens(spark, sf)
     model = U.unigram_model(rows)
-    return U.scored(rows, model.withColumn("self_info", _six("self_info")))
+    return U.scored(rows, model.withColumn("self_info", _six("self_info")), complete=True)
 
 
 def token_units(spark: SparkSession, sf: str) -> DataFrame:
