@@ -17,7 +17,7 @@ from __future__ import annotations
 import bisect
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -80,15 +80,20 @@ def summaries(chunk: str, lo: int, hi: int, found: dict[str, list[tuple[int, int
     return out
 
 
-def spaces(chunk: str, lo: int, hi: int, step: int) -> list[int]:
-    """The place after the last white space of each stretch of ``step`` characters in [lo, hi)."""
-    out = []
-    for start in range(lo, hi, step):
-        at = end = min(hi, start + step)
-        while at > start and not chunk[at - 1].isspace():
-            at -= 1
-        if at > start or end == start:
-            out.append(at - lo)
+def spaces(chunk: str, lo: int, hi: int, reach: int, places: Sequence[int] = ()) -> list[int]:
+    """The places after white space in [lo, hi) that a cut can need, as offsets in the range.
+
+    White space is cut at only where a stretch of ``reach`` has no boundary of a coarser level. So
+    between two neighbours of ``places`` (coarser boundaries of the range, ascending) that are nearer
+    to each other none is kept; before the first and after the last, where the neighbour lies in
+    another range, all is.
+    """
+    out: list[int] = []
+    edges = [0, *places, hi - lo]
+    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        if b - a > reach or k in (0, len(places)):
+            for m in _SPACE.finditer(chunk, lo + a, lo + b):
+                out += range(m.start() + 1 - lo, m.end() + 1 - lo)
     return out
 
 
@@ -162,8 +167,8 @@ _SUMMARY = "struct<head:int,tail:int,longest:int>"
 def boundary_tables(ranges: DataFrame, keys: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """keys, range_no, final, own, first and last (non-blank offsets), levels (summaries), places; texts end here.
 
-    ``places`` has the offsets in the range of each level's boundaries; of white space it has the last
-    of every quarter of a piece.
+    ``places`` has the offsets in the range of each level's boundaries; of white space it has all that
+    a cut can need (``spaces``).
     """
     small_batches(ranges.sparkSession, 200)
     source = ranges.select(*keys, "range_no", "final", "own", "lead", "chunk")
@@ -185,7 +190,8 @@ def boundary_tables(ranges: DataFrame, keys: list[str], limit: int = LIMIT, over
                 lasts.append(None if blank else len(mine.rstrip()))
                 levels.append([dict(zip(("head", "tail", "longest"), s, strict=True)) for s in summaries(chunk, lo, hi, found, limit)])
                 # A stretch that ends in this range may begin again in the next one: then the cut lies at the range's end.
-                places.append([*[sorted({min(b, hi) - lo for _, b in found[v]}) for v in LEVELS[:2]], spaces(chunk, lo, hi, max(1, (limit - overlap) // 4))])
+                coarse = [sorted({min(b, hi) - lo for _, b in found[v]}) for v in LEVELS[:2]]
+                places.append([*coarse, spaces(chunk, lo, hi, limit - overlap, sorted({*coarse[0], *coarse[1]}))])
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(k) for k in range(n + 2)], pa.array(owns, pa.int64()), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32()), pa.array(levels, level_kind), pa.array(places, pa.list_(pa.list_(pa.int32())))],
                 names=[*keys, "range_no", "final", "own", "first", "last", "levels", "places"],
@@ -239,7 +245,8 @@ def piece_offsets(tables: DataFrame, keys: list[str], limit: int = LIMIT, overla
         for batch in batches:
             rows, begins, ends, names = [], [], [], []
             blocks = batch.column(n).to_pylist()
-            for i, parts in enumerate(batch.column(n + 1).to_pylist()):
+            for i, pack in enumerate(batch.column(n + 1)):
+                parts = pack.as_py()  # one at a time: a pack may hold a place for every other character
                 own = [p for p in parts if p["range_no"] // per_block == blocks[i]]
                 levels = [[p["base"] + x for p in parts for x in p["places"][k]] for k in range(len(LEVELS))]
                 begin = 0
