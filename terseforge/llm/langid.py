@@ -33,6 +33,10 @@ SAMPLE_DOCS, SAMPLE_CHARS = 3000, 1500
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Most that one word may tell against a language (nats), so that no name decides a sentence.
 CLIP = 5.0
+#: In scripts without blanks ``CLIP`` holds for so many characters, and a word counts so many.
+CLIP_CHARS, WORD_CHARS = 4, 2
+#: A longer run of letters is scored in parts of this many.
+RUN_CHARS = 60
 #: Cost (nats) of changing the language between two sentences; evidence below it is taken for noise.
 SWITCH = 6.0
 
@@ -43,6 +47,19 @@ _CITATION = re.compile(r"<(?:cit|ref)\.>")
 _LONGEST = 12  # longest piece that is looked up, in characters
 
 
+def word_runs(text: str) -> list[str]:
+    """The words of a text, longer ones in parts of ``RUN_CHARS``."""
+    found = WORD.findall(text)
+    if len(text) > RUN_CHARS and any(len(w) > RUN_CHARS for w in found):
+        return [w[k : k + RUN_CHARS] for w in found for k in range(0, len(w), RUN_CHARS)]
+    return found
+
+
+def _units(word: str, chars: int) -> int:
+    """1, or in a script without blanks the number of stretches of ``chars``."""
+    return -(-len(word) // chars) if "぀" <= word[0] <= "鿿" else 1
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str) -> dict[str, int]:
     """Index of every lower-case piece of a sentencepiece vocabulary."""
@@ -89,7 +106,7 @@ def forward(words: list[str], index: dict[str, int], probs: np.ndarray) -> np.nd
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
     for lo in range(0, len(order), 2000):
         part = order[lo : lo + 2000]
-        ids, lengths = _lattice([_marked(words[i][:60]) for i in part], index)
+        ids, lengths = _lattice([_marked(words[i]) for i in part], index)
         alpha = np.zeros((ids.shape[1], len(part), probs.shape[1]))
         alpha[0] = 1.0
         for j in range(1, ids.shape[1]):
@@ -106,7 +123,7 @@ def fit(texts: list[str], labels: list[int], path: str, rounds: int = 2) -> np.n
     """Piece probabilities [piece + 2, language] from labelled texts, by expectation maximisation."""
     index = pieces(path)
     n, k = len(index), len(LANGUAGES)
-    docs = [Counter(WORD.findall(t.lower())) for t in texts]
+    docs = [Counter(word_runs(t.lower())) for t in texts]
     keep = [True] * len(docs)
     probs = np.zeros((n + 2, k))
     for turn in range(2):
@@ -122,7 +139,7 @@ def fit(texts: list[str], labels: list[int], path: str, rounds: int = 2) -> np.n
         for lo in range(0, len(by_length), 2000):
             part = by_length[lo : lo + 2000]
             weight = np.array([[per[y][w] for y in range(k)] for w in part], np.float64)
-            lattices.append((*_lattice([_marked(w[:60]) for w in part], index), weight))
+            lattices.append((*_lattice([_marked(w) for w in part], index), weight))
         probs[:n] = 1.0 / n
         probs[n + 1] = 1e-7
         for _ in range(rounds):
@@ -166,9 +183,13 @@ def _expect(ids: np.ndarray, lengths: np.ndarray, weight: np.ndarray, probs: np.
 
 
 def word_scores(words: list[str], path: str, probs: np.ndarray) -> np.ndarray:
-    """Each word's evidence [word, language]: log-probability below the best, at most ``CLIP``."""
+    """Each word's evidence [word, language]: log-probability below the best, at most ``CLIP`` a word.
+
+    A run of a script without blanks holds many words, so it may tell ``CLIP`` for every ``CLIP_CHARS``.
+    """
     scores = forward(words, pieces(path), probs)
-    return np.maximum(scores - scores.max(1, keepdims=True), -CLIP).astype(np.float32)
+    most = CLIP * np.fromiter((_units(w, CLIP_CHARS) for w in words), np.float64, len(words))
+    return np.maximum(scores - scores.max(1, keepdims=True), -most[:, None]).astype(np.float32)
 
 
 class Scorer:
@@ -200,21 +221,22 @@ class Scorer:
         return self.table[np.fromiter(map(ids.__getitem__, words), np.int32, len(words))]
 
     def sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Evidence [text, language] and the number of words of each text."""
+        """Evidence [text, language] and the number of words of each text, by length without blanks."""
         words: list[str] = []
-        counts = np.empty(len(texts), np.int64)
+        counts, said = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
         for i, t in enumerate(texts):
-            found = WORD.findall(t)
+            found = word_runs(t)
             if not any(len(w) > 1 or "぀" <= w <= "鿿" for w in found):
                 found = []  # single letters among signs are no words
             counts[i] = len(found)
+            said[i] = sum(_units(w, WORD_CHARS) for w in found)
             words += found
         out = np.zeros((len(texts), len(LANGUAGES)))
         if words:
             has = np.flatnonzero(counts)
             starts = (np.cumsum(counts) - counts)[has]
             out[has] = np.add.reduceat(self.rows(words), starts, axis=0, dtype=np.float64)
-        return out, counts
+        return out, said
 
 
 _SCORERS: dict[int, Scorer] = {}
