@@ -105,10 +105,11 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text:
 
     Token totals per source give each source's rate, target share x mixture size / its tokens. A
     document comes floor(rate) times, plus once more if its seeded hash falls below the fraction.
-    ``total_tokens`` is the size asked for; by default, and at most, it is the largest at which no
-    source would need more than its max_repeats, so that every share can be met. Targets without
-    documents are reported with rate 0 and the shares of the others are scaled to one. A rate above the cap is cut
-    to the cap. Sources are matched without case and outer blanks; a null source is never drawn.
+    ``total_tokens`` is the size asked for; by default it is the largest at which no source would need
+    more than its max_repeats, so that every share can be met. Targets without documents, or whose
+    share or cap is null or not above 0, are reported with rate 0 and the shares of the others are
+    scaled to one. A rate above the cap is cut to the cap: a larger mixture then falls short of its
+    size, and the shares reported are those reached. Sources are matched without case and outer blanks; a null source is never drawn.
 
     copies: ``key``, source, copy_no (from 0), n_tokens. shares: source, target_share, max_repeats,
     n_documents, n_tokens, rate, expected_tokens, mixed_tokens, mixed_share. Targets are few: the
@@ -120,10 +121,10 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text:
     counts = durable(token_counts(wanted, [key, "source"], "__text", path))
     per = counts.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"))
     rows = asked.join(per, "source", "left").collect()  # one row per target
-    present = [r for r in rows if (r["n_tokens"] or 0) > 0 and r["target_share"] > 0]
+    present = [r for r in rows if all((r[c] or 0) > 0 for c in ("n_tokens", "target_share", "max_repeats"))]
     weight = sum(r["target_share"] for r in present) or 1.0
     room = min((r["max_repeats"] * r["n_tokens"] * weight / r["target_share"] for r in present), default=0.0)
-    size = room if total_tokens is None else min(float(total_tokens), room)
+    size = room if total_tokens is None else float(total_tokens)
     rates = [(r["source"], r["target_share"], r["max_repeats"], r["n_documents"] or 0, r["n_tokens"] or 0, min(float(r["max_repeats"]), r["target_share"] / weight * size / r["n_tokens"]) if r in present else 0.0) for r in rows]
     spark = documents.sparkSession
     table = spark.createDataFrame(rates, "source string, target_share double, max_repeats int, n_documents bigint, n_tokens bigint, rate double")
