@@ -13,6 +13,7 @@ leave the second. Everything else, the scores and the segments, covers every doc
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 CLIP = 5.0
 #: In scripts without blanks ``CLIP`` holds for so many characters, and a word counts so many.
 CLIP_CHARS, WORD_CHARS = 4, 2
-#: A longer run of letters is scored in parts of this many.
+#: A longer run of letters is scored by itself, with its sums scaled at every character.
 RUN_CHARS = 60
 #: Cost (nats) of changing the language between two sentences; evidence below it is taken for noise.
 SWITCH = 6.0
@@ -44,15 +45,6 @@ SWITCH = 6.0
 WORD = re.compile(r"[ぁ-ゟ]+|[゠-ヿ]+|[㐀-鿿]+|(?<![\w/=])[^\W\d_぀-ヿ㐀-鿿]++(?![0-9_])")
 _MARKER = re.compile(r"^(?:human|gpt|user|assistant|system)\s*:\s*", re.I)
 _CITATION = re.compile(r"<(?:cit|ref)\.>")
-_LONGEST = 12  # longest piece that is looked up, in characters
-
-
-def word_runs(text: str) -> list[str]:
-    """The words of a text, longer ones in parts of ``RUN_CHARS``."""
-    found = WORD.findall(text)
-    if len(text) > RUN_CHARS and any(len(w) > RUN_CHARS for w in found):
-        return [w[k : k + RUN_CHARS] for w in found for k in range(0, len(w), RUN_CHARS)]
-    return found
 
 
 def _units(word: str, chars: int) -> int:
@@ -67,10 +59,16 @@ def pieces(path: str) -> dict[str, int]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = dict.fromkeys(p.lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i)) for p in (sp.id_to_piece(i),))
-    return {p: k for k, p in enumerate(p for p in found if len(p) <= _LONGEST)}
+    return {p: k for k, p in enumerate(found)}
 
 
-def _lattice(words: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def _longest(path: str) -> int:
+    """Characters of the longest piece."""
+    return max(map(len, pieces(path)), default=1)
+
+
+def _lattice(words: list[str], index: dict[str, int], longest: int) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids [word, end, length - 1] of every substring, and the words' lengths.
 
     Index ``len(index)`` stands for no piece; a single character that is no piece has index
@@ -78,11 +76,11 @@ def _lattice(words: list[str], index: dict[str, int]) -> tuple[np.ndarray, np.nd
     """
     none, unknown = len(index), len(index) + 1
     size = max(map(len, words))
-    ids = np.full((len(words), size + 1, min(size, _LONGEST)), none, np.int32)
+    ids = np.full((len(words), size + 1, min(size, longest)), none, np.int32)
     get = index.get
     for w, word in enumerate(words):
         for i in range(len(word)):
-            for j in range(i + 1, min(len(word), i + _LONGEST) + 1):
+            for j in range(i + 1, min(len(word), i + longest) + 1):
                 k = get(word[i:j])
                 if k is not None:
                     ids[w, j, j - i - 1] = k
@@ -100,13 +98,17 @@ def forward(words: list[str], index: dict[str, int], probs: np.ndarray) -> np.nd
     """Log-probability [word, language]: the sum over all segmentations of each word.
 
     ``probs`` has a row for every piece, then a zero row for no piece and one for an unknown
-    character. Words are scored in groups of similar length.
+    character. Words are scored in groups of similar length, very long ones one by one.
     """
     out = np.empty((len(words), probs.shape[1]), np.float64)
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    longest = max(map(len, index), default=1)
+    while order and len(words[order[-1]]) > RUN_CHARS:
+        out[order[-1]] = _forward_long(_marked(words[order[-1]]), index, probs, longest)
+        order.pop()
     for lo in range(0, len(order), 2000):
         part = order[lo : lo + 2000]
-        ids, lengths = _lattice([_marked(words[i]) for i in part], index)
+        ids, lengths = _lattice([_marked(words[i]) for i in part], index, longest)
         alpha = np.zeros((ids.shape[1], len(part), probs.shape[1]))
         alpha[0] = 1.0
         for j in range(1, ids.shape[1]):
@@ -119,11 +121,30 @@ def forward(words: list[str], index: dict[str, int], probs: np.ndarray) -> np.nd
     return out
 
 
+def _forward_long(word: str, index: dict[str, int], probs: np.ndarray, longest: int) -> np.ndarray:
+    """``forward`` of one word of any length: only the last sums are kept, scaled so that none vanishes."""
+    recent = [np.ones(probs.shape[1])]  # sums up to the last characters, the latest first
+    scale = np.zeros(probs.shape[1])
+    for j in range(1, len(word) + 1):
+        total = recent[0] * probs[index.get(word[j - 1], len(index) + 1)]
+        for k in range(2, min(j, longest) + 1):
+            at = index.get(word[j - k : j])
+            if at is not None:
+                total = total + recent[k - 1] * probs[at]
+        recent.insert(0, total)
+        del recent[longest:]
+        if j % 8 == 0:
+            top = np.maximum(total, 1e-300)
+            recent = [r / top for r in recent]
+            scale += np.log(top)
+    return scale + np.log(np.maximum(recent[0], 1e-300))
+
+
 def fit(texts: list[str], labels: list[int], path: str, rounds: int = 2) -> np.ndarray:
     """Piece probabilities [piece + 2, language] from labelled texts, by expectation maximisation."""
-    index = pieces(path)
+    index, longest = pieces(path), _longest(path)
     n, k = len(index), len(LANGUAGES)
-    docs = [Counter(word_runs(t.lower())) for t in texts]
+    docs = [Counter(WORD.findall(t.lower())) for t in texts]
     keep = [True] * len(docs)
     probs = np.zeros((n + 2, k))
     for turn in range(2):
@@ -139,7 +160,7 @@ def fit(texts: list[str], labels: list[int], path: str, rounds: int = 2) -> np.n
         for lo in range(0, len(by_length), 2000):
             part = by_length[lo : lo + 2000]
             weight = np.array([[per[y][w] for y in range(k)] for w in part], np.float64)
-            lattices.append((*_lattice([_marked(w) for w in part], index), weight))
+            lattices.append((*_lattice([_marked(w) for w in part], index, longest), weight))
         probs[:n] = 1.0 / n
         probs[n + 1] = 1e-7
         for _ in range(rounds):
@@ -225,7 +246,7 @@ class Scorer:
         words: list[str] = []
         counts, said = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
         for i, t in enumerate(texts):
-            found = word_runs(t)
+            found = WORD.findall(t)
             if not any(len(w) > 1 or "぀" <= w <= "鿿" for w in found):
                 found = []  # single letters among signs are no words
             counts[i] = len(found)
@@ -239,11 +260,12 @@ class Scorer:
         return out, said
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[tuple[str, str], Scorer] = {}
 
 
-def scorer(path: str, probs: np.ndarray, key: int) -> Scorer:
-    """This worker's scorer for a model."""
+def scorer(path: str, probs: np.ndarray) -> Scorer:
+    """This worker's scorer for a model, known by a digest of all its probabilities."""
+    key = (path, hashlib.blake2b(np.ascontiguousarray(probs), digest_size=16).hexdigest())
     if key not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[key] = Scorer(path, probs)
@@ -252,9 +274,9 @@ def scorer(path: str, probs: np.ndarray, key: int) -> Scorer:
 
 def labelled_sample(df: DataFrame, key: str, text: str, lang: str, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
     """A bounded sample of rows whose label names one of the languages, by the hash of their key."""
-    named = df.select(F.col(key).alias("__k"), F.lower(F.substring(F.trim(lang), 1, 2)).alias("__l")).where(F.col("__l").isin(*LANGUAGES))
-    ids = F.broadcast(named.orderBy(F.xxhash64("__k"), "__k").limit(docs))  # bounded by docs
-    rows = df.select(F.col(key).alias("__k"), F.substring(text, 1, chars).alias("__t")).join(ids, "__k").where(F.col("__t").isNotNull()).orderBy("__k").collect()
+    named = df.select(F.xxhash64(key).alias("__h"), F.col(key).alias("__k"), F.lower(F.substring(F.trim(lang), 1, 2)).alias("__l"), F.substring(text, 1, chars).alias("__t"))
+    drawn = named.where(F.col("__l").isin(*LANGUAGES) & F.col("__t").isNotNull()).orderBy("__h", "__k").limit(docs)  # one scan, the least hashes of each task
+    rows = sorted(drawn.collect(), key=lambda r: (r["__h"], r["__k"]))  # bounded by docs and chars
     return [r["__t"] for r in rows], [LANGUAGES.index(r["__l"]) for r in rows]
 
 
@@ -305,13 +327,12 @@ def document_languages(df: DataFrame, key: str, text: str, lang: str, path: str
     texts, labels = labelled_sample(df if sample is None else sample, key, text, lang)
     probs = fit(texts, labels, path)
     model = spark.sparkContext.broadcast(probs)  # bounded by the vocabulary
-    token = hash((len(texts), probs.tobytes()[:4096]))
     source = df.select(F.col(key), F.lower(F.substring(F.trim(F.col(lang)), 1, 2)).alias("label"), F.col(text).alias("__text"))
     schema = f"`{key}` {source.schema[0].dataType.simpleString()}, label string, lang string, confidence double, segments array<struct<start_pos:int,end_pos:int,seg_lang:string,confidence:double,sentences:int>>"
     kind = pa.list_(pa.struct([("start_pos", pa.int32()), ("end_pos", pa.int32()), ("seg_lang", pa.string()), ("confidence", pa.float64()), ("sentences", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = scorer(path, model.value, token)
+        judge = scorer(path, model.value)
         for batch in batches:
             spans, sizes, said = [], [], []
             for t in batch.column(2).to_pylist():
