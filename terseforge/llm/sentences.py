@@ -2,9 +2,15 @@
 
 A rule is a pair of regular expressions, one for what stands before a position and one for what
 follows. At each candidate position (after a run of end marks, its closing quotes and citation
-markers) the tables are asked in order, the language tables first and the common table last; the
-first rule that matches decides. Speech inside quotation marks, blank lines and heading lines with a
-section mark are settled before the tables.
+markers) the tables are asked in order: the table of the block's language, the tables of scripts
+with marks of their own, abbreviations that all languages share, and the common table. The first
+rule that matches decides, and nothing decides before the tables. Patterns look behind as far as
+they need to; no context is cut off.
+
+A block is what stands between blank lines (or line ends, in transcripts). Its language is the one
+whose function words it uses most, and where none leads, all language tables are asked. Speech
+inside a pair of quotation marks of one block, however long, blank lines and heading lines with a
+section mark hold no candidate.
 
 Nulls and blank texts give no unit. A text without end marks is one unit per block between blank
 lines. Offsets count code points; a unit has no white space at its ends.
@@ -18,6 +24,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,24 +70,61 @@ MONTHS: dict[str, tuple[str, ...]] = {
     "de": ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember", "Jahrhundert"),
 }
 
+# Abbreviations that texts of every language use.
+SHARED: dict[str, tuple[str, ...]] = {
+    "name": ("Dr", "Prof", "Mr", "Mrs", "Ms", "St", "vs", "approx", "resp", "cf", "Cf", "e.g", "i.e", "viz", "al", "Sr", "Sra"),
+    "number": ("No", "Nos", "Nr", "Fig", "Figs", "fig", "Eq", "Eqs", "eq", "Sec", "sec", "Sect", "Ref", "Refs", "Vol", "vol", "p", "pp", "ca", "al", "Tab", "tab"),
+}
+# Function words by which a block's language is known.
+FUNCTION_WORDS: dict[str, frozenset[str]] = {
+    "en": frozenset("the and of to is was are were that which with for from this it we they he she not by at an be has have had as on in or if but than then there".split()),
+    "de": frozenset("der die das und ist nicht ein eine einen dem den des mit von zu auf für sich war sind wird im am er sie es wir aus bei nach wie auch etwa dass aber als oder hat vor über".split()),
+    "fr": frozenset("le la les des est et une un dans du pour que qui ne pas au aux sur par il elle nous sont avec ce cette mais ou été plus se d' l'".split()),
+    "es": frozenset("el la los las del y en que un una por con para se es no su al lo más como pero fue son está desde sin sobre entre".split()),
+    "pt": frozenset("o os as da do das dos e em um uma que não para com por se é ao na no nas nos mais como mas foi são pela pelo desde sem sobre".split()),
+    "ru": frozenset("и в не на что с по к из у от за как это для его но он она они был была было были то же так а о об при до".split()),
+}
+# Words that open a sentence and are no surname, so that a letter before them ends one.
+OPENERS = ("The", "Then", "This", "That", "These", "Those", "There", "We", "He", "She", "It", "They", "You", "In", "On", "At", "But", "And", "If", "When", "After", "Before", "However", "Der", "Die", "Das", "Dann", "Wir", "Er", "Sie", "Es", "Le", "La", "Les", "Il", "Elle", "Nous", "Puis", "El", "Los", "Las", "Entonces", "Os", "Ele", "Ela", "Depois", "Он", "Она", "Они", "Мы", "Это", "Затем")
+
 _UP = r"[A-ZÀ-ÖØ-ÞĀ-ŽΑ-ΩА-ЯЁ]"
 _WS = r"[\s]"
-_CJK = r"[぀-ヿ㐀-鿿豈-﫿]"
+_CJK = r"[぀-ヿ㐀-鿿豈-﫿]"
+_CLOSED = r"[”」』’\"）)»\]]"
+# End marks of further scripts (Devanagari, Arabic, Urdu, Ethiopic, Khmer, Burmese, Armenian, Tibetan).
+_FOREIGN = "।॥؟۔።፧។៕။։།"
+# Thai writes no end mark; these words close a statement before a blank.
+_THAI = "ครับ|ค่ะ|คะ|จ้ะ|นะ|แล้ว"
 
 
 def _edge(words: tuple[str, ...]) -> str:
     return r"(?:^|[\s(\[«“„\"'])(?:" + "|".join(re.escape(w).replace(r"\ ", r"\s+") for w in sorted(words, key=len, reverse=True)) + r")\."
 
 
+def _abbreviations(kinds: dict[str, tuple[str, ...]]) -> list[Rule]:
+    return [Rule(False, _edge(kinds["name"]), rf"{_WS}+[^\s]"), Rule(False, _edge(kinds["number"]), rf"{_WS}*[\d(\[№IVXLC]")]
+
+
 def rule_tables() -> dict[str, list[Rule]]:
-    """The cascade, in the order in which it is asked."""
-    tables: dict[str, list[Rule]] = {}
-    for lang, kinds in ABBREVIATIONS.items():
-        rules = [Rule(False, _edge(kinds["name"]), rf"{_WS}+[^\s]"), Rule(False, _edge(kinds["number"]), rf"{_WS}*[\d(\[№IVXLC]")]
-        if lang in MONTHS:
-            rules.insert(0, Rule(False, r"(?:^|[\s(])\d{1,2}\.", rf"{_WS}+(?:{'|'.join(MONTHS[lang])})\b"))
-        tables[lang] = rules
+    """The cascade: a table for every language, then those that all blocks share, in order."""
+    tables: dict[str, list[Rule]] = {lang: _abbreviations(kinds) for lang, kinds in ABBREVIATIONS.items()}
+    for lang, months in MONTHS.items():
+        tables[lang].insert(0, Rule(False, r"(?:^|[\s(])\d{1,2}\.", rf"{_WS}+(?:{'|'.join(months)})\b"))
+    # "no" before a number is short for number, unless it answers.
+    tables["en"].insert(0, Rule(True, r"\b(?:is|was|be|say|says|said|answer|answers|answered|reply|replied|with|a)[\s,:]+no\.", rf"{_WS}+[\d]"))
+    tables["cjk"] = [
+        Rule(False, rf"[。！？｡]{_CLOSED}+", _CJK),  # a report of speech goes on
+        Rule(False, r"モーニング娘。", r"\S"),
+        Rule(False, r"[。！？｡]+", r"[\p{Ll}\d/_@=&]"),
+        Rule(True, r"[。！？｡]", r""),
+        Rule(False, r"(?:图|表|第|図)\s?\d+\.", r"\s?\d"),
+        Rule(False, rf"{_CJK}\.", r"[\p{L}\d]"),
+    ]
+    tables["scripts"] = [Rule(True, rf"[{_FOREIGN}]+{_CLOSED}*", r""), Rule(True, rf"(?:{_THAI})", rf"{_WS}")]
+    tables["shared"] = _abbreviations(SHARED)
     tables["common"] = [
+        # What opens a sentence ends the one before, also after a single letter.
+        Rule(True, rf"{_WS}{_UP}\.", rf"{_WS}+(?:{'|'.join(OPENERS)}){_WS}"),
         # Initials before a surname or another initial; "a.m." and the like may end a sentence.
         Rule(False, rf"(?:^|[\s(\[«“„\"'.-]){_UP}\.", rf"{_WS}*(?:{_UP}\.|{_UP}[\w'’-]+)"),
         Rule(False, r"(?:^|[\s(\[«“„])\w\.", rf"{_WS}*\w\."),
@@ -99,60 +143,48 @@ def rule_tables() -> dict[str, list[Rule]]:
     return tables
 
 
-_TABLES = {lang: [(r.breaks, re.compile(f"(?:{r.before})\\Z"), re.compile(r.after)) for r in rules] for lang, rules in rule_tables().items()}
-_KNOWN = frozenset(w.rpartition(" ")[2] for kinds in ABBREVIATIONS.values() for words in kinds.values() for w in words)
-_CANDIDATE = re.compile(r"(?:\.+|[!?…‽]+[.!?…]*|[。！？｡]+)(?:[\"”’'»)\]」』）】›]|“(?![\w“])|[ \xa0 ]»)*(?:\s?<(?:cit|ref)\.>)*")
+_TABLES = {name: [(r.breaks, regex.compile(f"(?<={r.before})"), regex.compile(r.after)) for r in rules] for name, rules in rule_tables().items()}
+_AFTER_ALL = [*_TABLES["cjk"], *_TABLES["scripts"], *_TABLES["shared"], *_TABLES["common"]]
+#: The cascade by language, and of blocks whose language is not known.
+_CASCADES = {lang: [*_TABLES[lang], *_AFTER_ALL] for lang in ABBREVIATIONS} | {"zh": _AFTER_ALL, "ja": _AFTER_ALL}
+_CASCADES[None] = [r for lang in ABBREVIATIONS for r in _TABLES[lang]] + _AFTER_ALL
+_CANDIDATE = re.compile(rf"(?:\.+|[!?…‽{_FOREIGN}]+[.!?…]*|[。！？｡]+|(?:{_THAI})(?=\s))(?:[\"”’'»)\]」』）】›]|“(?![\w“])|[ \xa0 ]»)*(?:\s?<(?:cit|ref)\.>)*")
 _HEADING = re.compile(r"(?:§\.)*§")
 _QUOTE_MARK = re.compile("[\"“„«「『]")
-#: Speech of at most this many characters, and in one block, is taken for a quotation.
-QUOTE_LIMIT = 400
 _QUOTE = re.compile(
-    rf"“[^“”]{{1,{QUOTE_LIMIT}}}”|„[^„“”]{{1,{QUOTE_LIMIT}}}[“”]|«[^«»]{{1,{QUOTE_LIMIT}}}»|「[^「」]{{1,{QUOTE_LIMIT}}}」|『[^『』]{{1,{QUOTE_LIMIT}}}』"
-    rf"|(?:(?<=[\s(\[—])|(?<![\s\S]))\"(?=\S)[^\"]{{1,{QUOTE_LIMIT}}}\"(?=[\s.,;:!?)\]<—]|\Z)"
+    r"“[^“”]+”|„[^„“”]+[“”]|«[^«»]+»|「[^「」]+」|『[^『』]+』"
+    r"|(?:(?<=[\s(\[—])|(?<![\s\S]))\"(?=\S)[^\"]+\"(?=[\s.,;:!?)\]<—]|\Z)"
 )
-_CJK_CLOSED = re.compile(r"[。！？｡][”」』’\"）)]+\Z")
-_STARTS_CJK = re.compile(_CJK)
-_PLAIN = re.compile(r"\s+[A-ZÀ-ÖØ-ÞА-ЯЁ]")
 
 
-def _decides(text: str, start: int, end: int, lo: int, hi: int, tables: list) -> bool:
+def block_language(block: str) -> str | None:
+    """The language whose function words lead in a block; None where none leads."""
+    words = block.lower().split()
+    found = {lang: sum(map(own.__contains__, words)) for lang, own in FUNCTION_WORDS.items()}
+    first, second = sorted(found.values(), reverse=True)[:2]
+    return max(found, key=found.get) if first > second else None
+
+
+def _decides(text: str, start: int, end: int, hi: int, cascade: list) -> bool:
     """Whether the cascade breaks at ``end``; the end marks begin at ``start``."""
-    mark = text[start:end].split("<", 1)[0].rstrip()
-    right = text[end : min(hi, end + 28)]
-    first = right[0]
-    # What the tables can only answer in one way is answered at once: no rule breaks inside a word,
-    # and only a listed word, an initial or a number keeps a sentence open before a capital.
-    if first.islower() or first.isdigit() or first in "/_@=&":
-        return False
-    if mark in "。！？｡":
-        return True
-    if _PLAIN.match(right):
-        if mark[0] != ".":
-            return True
-        at = start
-        while at > lo and text[at - 1].isalpha():
-            at -= 1
-        if start - at > 2 and text[at:start] not in _KNOWN and (at == lo or text[at - 1] in " \n"):
-            return True
-    left = text[max(lo, start - 28) : start] + mark
-    if _CJK_CLOSED.search(left) and _STARTS_CJK.match(right):
-        return False  # a report of speech goes on: said, then, と
-    for table in tables:
-        for breaks, before, after in table:
-            if after.match(right) and before.search(left):
-                return breaks
+    at = text.find("<", start, end)
+    at = end if at < 0 else at
+    while text[at - 1].isspace():
+        at -= 1
+    for breaks, before, after in cascade:
+        if after.match(text, end, hi) and before.match(text, at):
+            return breaks
     return False
 
 
 def sentence_spans(text: str | None, lang: str | None = None, lines: bool = False) -> list[tuple[int, int]]:
     """Units of one text as (start, end).
 
-    ``lang`` restricts the cascade to one language's table and the common one; None asks all of them.
+    ``lang`` names the language of the whole text; by default it is found for every block.
     With ``lines`` every line end closes a unit, as in transcripts.
     """
     if not text:
         return []
-    tables = [_TABLES[lang], _TABLES["common"]] if lang in _TABLES else list(_TABLES.values())
     spans: list[tuple[int, int]] = []
     for lo, hi, heading in _blocks(text, lines):
         if heading:
@@ -164,6 +196,7 @@ def sentence_spans(text: str | None, lang: str | None = None, lines: bool = Fals
                 opened.append(m.start())
                 closed.append(m.end())
         begin = lo
+        cascade = None
         for m in _CANDIDATE.finditer(text, lo, hi):
             start, end = m.span()
             if end >= hi:
@@ -172,7 +205,9 @@ def sentence_spans(text: str | None, lang: str | None = None, lines: bool = Fals
                 k = bisect.bisect_right(opened, start) - 1
                 if k >= 0 and end < closed[k]:
                     continue
-            if _decides(text, start, end, lo, hi, tables):
+            if cascade is None:
+                cascade = _CASCADES.get(lang or block_language(text[lo:hi]), _CASCADES[None])
+            if _decides(text, start, end, hi, cascade):
                 _add(spans, text, begin, end)
                 begin = end
         _add(spans, text, begin, hi)
