@@ -1,17 +1,20 @@
 """Personal data in free text: a linear-chain conditional random field over word shapes.
 
-The field is trained on a small labelled table (``LABELLED``: sentences in which personal data are
-marked as slots, filled by rule) by maximum likelihood, and decoded by Viterbi in numpy batches.
-A token's features depend on the token alone, its shape, ending and a short list of words, seen from
-up to three places away, so each distinct token is scored once per Python worker and a sentence's
-scores are sums of table rows.
-
-An exact check follows the decoding: a found span is fitted to the form of its type (an address of
+The field is trained on a small labelled table (``pii_table``: sentences in which personal data are
+marked as slots, filled by rule) by maximum likelihood, and decoded by Viterbi in numpy batches of
+texts of similar length and bounded tokens. A token's features depend on the token alone, its shape,
+ending, lists of common names and a short list of words, seen from up to three places away, so each
+distinct token is scored once per Python worker and a sentence's scores are sums of table rows.
+Where a text holds the words of a decoded span once more, it is decoded again with evidence for it.
+
+An exact check follows the decoding: a found span is trimmed to the form of its type (an address of
 electronic mail has a domain with a top level, a phone number takes its extension along) or dropped.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import random
 import re
 from collections.abc import Iterator
@@ -22,305 +25,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terseforge.llm.pii_table import FAMILY_NAMES, GIVEN, SURNAMES, labelled_table
 from terseforge.runtime import small_batches
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 #: Labels: O, then B and I of each type.
 N_LABELS = 1 + 2 * len(TYPES)
-#: Sentences filled from the labelled table, seed, and steps of the fit.
-EXAMPLES, SEED, STEPS = 1300, 7, 60
+#: Sentences filled from the labelled table, seed, batches and rounds of the fit, weight of the penalty.
+EXAMPLES, SEED, BATCHES, ROUNDS, PENALTY = 7000, 7, 12, 9, 4e-4
+#: Share of the tokens that show only their shape while the field is fitted.
+BLIND = 0.25
 REACH = 3
-
-# Given names, and the syllables and endings that invented names are made of.
-GIVEN = "Ada Bruno Clara Dario Elif Emil Felix Frida Goran Greta Hana Hugo Ines Ivo Jana Jonas Karim Lena Lucia Marta Milo Mina Nadia Noor Olga Oskar Otto Pavel Petra Quentin Rafael Rosa Samir Stefan Tara Thea Tomas Ugo Vera Wanda Yara Zoe Anna Peter Maria John Sofia Laura David Paul Julia".split()
-SYLLABLES = "bel bra cle cor del dor dru eno fen flo gal gri hes hyl ilu jor ka kre lo lum mar mis nor ops pel pho qui ran rhi sal sun tor tri uma van vel vor wex xe yel zan zi du ke lu mi mon ne ra ro se so ta te vi go".split()
-SURNAME_ENDS = "aardi aaro ardi aro berg ez hart iez lund mann nek oez off ova owick ski sen ström wick aez son er".split()
-PLACE_ENDS = "bel dal dis gen ia lex lith mark mora nade net phos quist ria ric rin ster sum ton tor ven via".split()
-
-# The labelled table. [x] marks personal data of type x, {x} is filled with other text.
-LABELLED = """
-My name is [name] and you can write to [email].
-My name is [name] and I live at [address].
-btw i am [name], ping me at [email]
-btw i am [name] and my cell is [phone]
-Is [email] still the right address for [name]?
-Mr. [name] asked that we use [email] instead.
-[name] asked that we use [email] instead.
-Mrs. [name] and Dr. [name] were there.
-Please call [name] on [phone] before noon.
-Please call Ms. [name] on [phone] before noon.
-The tenant, [name], moved to [address] last week.
-I live at [address], so send it there.
-Sign it with "[name], [address]" at the end.
-Thanks in advance, [name]
-Best regards, [name]
-SSN [id], name [name], phone [phone].
-My passport says [id]; my phone is [phone].
-For the form my id number is [id].
-Reach me under [phone].
-contact: [email] / [phone]
-contact: [email] / [phone] {en}
-Reply to [email] or ring [phone] after six.
-[name], [address]
-[name]
-[address]
-[email]
-[phone]
-Je m'appelle [name] et mon adresse est [address_fr].
-Écrivez à [email] ou appelez le [phone].
-Mon numéro de carte est [id].
-Cordialement, [name]
-M. [name] habite [address_fr].
-Ich heiße [name] und wohne in der Nähe: [address_de].
-Bitte schreiben Sie an [email] oder rufen Sie [phone] an.
-Meine Ausweisnummer lautet [id].
-Mit freundlichen Grüßen, [name]
-Frau [name] wohnt in der {Dp} nicht mehr, sondern: [address_de].
-Me llamo [name] y vivo en [address_es].
-Escriba a [email] o llame al [phone].
-Mi documento es [id].
-Saludos cordiales, [name]
-O meu nome é [name] e moro em [address_es].
-Escreva para [email] ou ligue para [phone].
-O meu documento é [id].
-Com os melhores cumprimentos, [name]
-Пишите на [email] или звоните [phone].
-Номер моего паспорта [id].
-Меня зовут [name_ru], мой телефон [phone].
-Меня зовут [name_ru], мой адрес: [address_ru].
-Меня зовут [name_ru], мой адрес: [address_ru].
-Меня зовут [name_ru], мой адрес: [address_ru].
-Номер паспорта: [id].
-С уважением, [name_ru]
-Я живу по адресу [address_ru], пишите.
-我叫[name_zh]，住在[address_zh]。
-我叫[name_zh]，住在[address_zh]。
-我叫[name_zh]，住在[address_zh]。
-我的名字是[name_zh]，地址是[address_zh]。
-私は[name_ja]です。住所は[address_ja]です。
-私の名前は[name_ja]です。
-请写信到 [email] 或致电 [phone] 。
-我的证件号是 [id] 。
-メールは [email] 、電話は [phone] です。
-私の番号は [id] です。
-"""
-# Sentences without personal data, many of them shaped like some.
-PLAIN = """
-Order {d4}-{d4}-{d4} was for the {w}.
-ISBN {d3}-{d1}-{d2}-{d4}-{d1} is the {w}.
-Use foo@{d2}.{d2} as the revision, not an address.
-Lane {d4} of the {w} was closed on {date}.
-The range {d4} - {d4} covers {d3} {w}s.
-Set ratio=0.{d2}, seed={d8}.
-The run took {d2}:{d2}:{d2} on build {d1}.{d2}.{d1}-{d3}.
-Ping @{l} in the channel about ticket #{d4}-{d4}.
-The {P} Street Journal of {P} covers {w}s.
-The {P} method of {P} reduces {d4} {w}s, not {d3}.
-The {P} Lane theorem and the {P} Avenue conjecture share {d4} {w}s.
-There are {d4} {w}s in the {w}, and {P} inspects every local one.
-{P} supports convex {w}s, although the {w} mostly confirms the {w}s.
-Both {P} and the rural {w} cost about {d4} {w}s without supervision.
-Which {w} removes the robust {w}s of {P}?
-Name the {w} that {P} delays.
-Name the {w} of {P} and {P}.
-Why is {P} called global in the {w}?
-How many {w}s does the {P} {w} need by hand?
-What does the silent {w} of {P} say about {w}s?
-Does {P} explain how the fine {w} doubles {w}s?
-However, each {w} holds {d4} fragile {w}s and one {P} {w}.
-Moreover, the {w} between {P} and {P} restores {d4} {w}s.
-The {w}, a toxic {w} from {P}, matches {d2}.{d3} of the {w}s.
-To reach a sparse {w}, the {P} {w} limits {w}s in spring.
-A northern {w} predicts {w}s with {d2}.{d3} percent fewer {w}s than {P}.
-If the {w} is rapid, {P} quickly encodes the {w} of the {w}s.
-In addition, {w}s and {w}s share the same popular {w} as {P}.
-Version {d1}.{d2}.{d1} of {P} reads {P}.
-Meanwhile, theory predicts that the {w} shifts {d3} {w}s, while {P} halves the {w}.
-Zwischen {P} und {P} liegt das Dorf mit {d4} Einträgen.
-Der Fluss stützt die neuen Regeln, obwohl {P} nur {d4} Einheiten liefert.
-Warum verwirft die Schule aus {P} die lange Liste?
-Rund {d2},{d3} Prozent der Fälle zeigen, dass {P} das alte Archiv ersetzt.
-Die Anlage aus {P} kostet {d4} Kronen, aber das Gericht prüft den Entwurf.
-Entre {P} et {P}, la revue garde {d4} entrées malgré le coût.
-Le rapport venant de {P} coûte {d4} couronnes, mais le musée améliore la longue liste.
-Combien de pièces {P} compte avant les travaux ?
-La clinique fournit le vieux contrat, bien que {P} compte {d4} unités.
-Entre {P} y {P}, el comité guarda {d4} entradas en primavera.
-¿Cuántas piezas tiene {P} desde ayer?
-El modelo que llegó de {P} cuesta {d4} coronas, pero la revista retrasa el borrador.
-Entre {P} e {P}, o museu guarda {d4} entradas à noite.
-O sensor que veio de {P} custa {d4} coroas, mas o jornal revê a lista.
-Между {R} и {R} находится архив, где хранится {d4} записей.
-Почему журнал из {R} проверяет общее среднее?
-Метод ограничивает длинный список, хотя {R} даёт лишь {d4} единиц.
-Тем не менее датчик из {R} отклоняет тихие голоса во всех районах.
-Что говорит суд про {R}?
-Около {d2},{d3} процента случаев показывают, что {R} заменяет правила.
-在{C}和{C}之间，报告保存了{d4}条记录。
-渔船来自{C}，价格是{d4}元，但是{C}测量了旧合同。
-关于{C}，博物馆说了什么？
-大约百分之{d2}.{d3}的情况表明{C}检查了第二个版本。
-诊所改进了简短的回答，尽管{C}只有{d4}个单位。
-学校限制了未解决的问题，尽管{C}只有{d3}个单位。
-此外，共统计了{d4}件，因为编辑部描述了北方的港口。
-在低温下，{C}解释了很长的名单，而渔船改进了密集的网络。
-从昨天起，{C}测量了完整的上下文，而该方法限制了昂贵的机器。
-深夜里，{C}推迟了很长的名单，而法院推迟了实验样品。
-据报道，{C}的委员会收获季节里删除了平均误差。
-这个模型来自{C}，价格是{d4}元，但是工程师支持了缺失的数值。
-{C}在春天一共有多少条记录？
-那里的名字很多，住在河边的人不多，号码是第{d2}个版本。
-およそ{d2}.{d3}パーセントの例では{K}が残った問いを説明した。
-収穫の時期に、{K}が平均誤差を拒んだ。
-その後、{d4}件が数えられ、技術者は密な網を削除した。
-为什么{C}的市场改进了第一份草稿？
-因此，{C}的学校在春天替换了当地的记录。
-{K}は短い答えを比べたが、{K}には{d4}個しかない。
-{K}と{K}のあいだで、博物館は{d4}件の記録を残した。
-"""
-_NOUNS = "archive battery beam bridge cache census clinic cortex critic decoder draft driver engine error factory ferry filter forest graph harbour index kernel ledger lepton market matrix model orbit parser pilot polymer proof query recipe reader river sampler school sensor shelf storm survey tensor token treaty tumour user vector voter window witness".split()
+#: A feature is kept if the labelled table shows it more often than this.
+SEEN = 3
+#: Evidence (nats) for the words of a span that the same text was found to hold elsewhere.
+HISTORY = 4.0
+#: Tokens, with their filling, that are decoded at once.
+TOKENS_AT_ONCE = 60_000
 
 _TOKEN = re.compile(r"&#?\w{1,8};|[぀-ヿ㐀-鿿]|[^\W\d_぀-ヿ㐀-鿿]+|\d+|[^\w\s]|_")
 _HTML = ("p", "li", "b", "br", "ul", "a", "href", "mailto", "div", "i", "em", "strong", "span")
 
 
-# --- the labelled table, filled -----------------------------------------------------------------
-
-
-_RU = "бел ва вы гас дук зим кря ла лен ло ми нар пет рен ске тор фол юла".split()
-_RU_GIVEN = "Иван Ольга Павел Нина Илья Анна Мария Сергей Елена Олег Вера Дмитрий".split()
-_RU_ENDS = "ов ова ин ина енко ский ев ева".split()
-_ZH = "邬昀汀蓁琨褚麓岚垚骁栩钰漪畲颐隗衍谌晗黛鄢殷蔺笙苡柘珞霁甯"
-_ZH_FAMILY = "池明柏王李张刘陈杨赵黄周吴"
-_KANA = "バ ド フォ カ キ ラ ロ ミ ム ネ リ サ ソ タ ト ヴェ ユ ズ".split()
-_JA_FAMILY = "佐藤 鈴木 高橋 田中 伊藤 渡辺 山本".split()
-
-
-def _cyrillic(rng: random.Random, ends: list[str]) -> str:
-    return ("".join(rng.choice(_RU) for _ in range(rng.randint(2, 3))) + rng.choice(ends)).capitalize()
-
-
-def _han(rng: random.Random, n: int) -> str:
-    return "".join(rng.choice(_ZH) for _ in range(n))
-
-
-def _local(rng: random.Random, kind: str) -> str:
-    """Names and addresses of scripts other than Latin."""
-    kana = "".join(rng.choice(_KANA) for _ in range(3))
-    n = rng.randint(1, 399)
-    return {
-        "name_ru": f"{rng.choice(_RU_GIVEN)} {_cyrillic(rng, _RU_ENDS)}",
-        "address_ru": f"ул. {_cyrillic(rng, [''])}, д. {n}, кв. {rng.randint(1, 99)}",
-        "name_zh": rng.choice(_ZH_FAMILY + _ZH) + _han(rng, rng.randint(1, 2)),
-        "address_zh": f"{_han(rng, rng.randint(2, 3))}{rng.choice('路街')}{n}号",
-        "name_ja": rng.choice(_JA_FAMILY) + kana,
-        "address_ja": f"{kana}{rng.choice('町市区')}{rng.randint(1, 9)}丁目{n}番地",
-    }[kind]
-
-
-def _digits(rng: random.Random, n: int) -> str:
-    return "".join(rng.choice("0123456789") for _ in range(n))
-
-
-def _word(rng: random.Random, ends: list[str], least: int = 1, most: int = 2) -> str:
-    return ("".join(rng.choice(SYLLABLES) for _ in range(rng.randint(least, most))) + rng.choice(ends)).capitalize()
-
-
-def _name(rng: random.Random) -> str:
-    given, last = rng.choice(GIVEN), _word(rng, SURNAME_ENDS)
-    if rng.random() < 0.2:
-        last += "-" + _word(rng, SURNAME_ENDS)
-    kind = rng.random()
-    full = f"{last}, {given}" if kind < 0.24 else f"{given} {rng.choice('ABCDEFGHIJKLMNOPRSTVW')}. {last}" if kind < 0.4 else f"{given} {last}"
-    return full.lower() if rng.random() < 0.13 else full
-
-
-def _email(rng: random.Random) -> str:
-    given, last = rng.choice(GIVEN).lower(), _word(rng, SURNAME_ENDS).lower().replace("ö", "")
-    local = rng.choice((f"{given}.{last}", f"{given}_{last}", f"{given}-{last}", f"{given[0]}{last}{_digits(rng, 2)}", f"{last}+list", f"{given}{_digits(rng, 2)}"))
-    domain = rng.choice(("example.com", "example.org", "dept.uni.test", "mail.example.net", "post.invalid", f"{last}.example"))
-    if rng.random() < 0.2:
-        local = local.upper()
-    at = rng.choice(("@",) * 8 + ("&#64;", "＠", " @ ", " (at) ", " [at] ", " &#64; ", "%40", "&commat;"))
-    dot = " [dot] " if "[" in at else " (dot) " if "(" in at and rng.random() < 0.4 else "&#46;" if rng.random() < 0.12 else "."
-    return local.replace(".", "&#46;" if dot == "&#46;" else ".") + at + domain.replace(".", dot)
-
-
-def _phone(rng: random.Random) -> str:
-    area, last = rng.choice(("212", "306", "415", "617", "808")), f"01{_digits(rng, 2)}"
-    forms = (f"+1 {area} 555 {last}", f"+1{area}555{last}", f"({area}) 555-{last}", f"{area}.555.{last}", f"{area}-555-{last}", f"555-{last} ext. {_digits(rng, 2)}", f"555-{last} x{_digits(rng, 3)}", f"+44 7700 900 {_digits(rng, 3)}", f"07700 900{_digits(rng, 3)}", f"+33 1 99 00 {_digits(rng, 2)} {_digits(rng, 2)}", f"+49 30 23125 {_digits(rng, 3)}", f"030/23125{_digits(rng, 3)}")
-    return rng.choice(forms)
-
-
-def _id(rng: random.Random) -> str:
-    d = lambda n: _digits(rng, n)
-    return rng.choice((f"9{d(2)}-00-{d(4)}", f"987-65-43{d(2)}", f"000 {d(2)} {d(4)}", f"C00X{d(5)}", f"X{d(7)}{rng.choice('ABQRTZ')}", f"{d(8)}-{rng.choice('ABHKZ')}", f"000000{d(11)}X", f"{d(3)}-{d(2)}-{d(4)}", f"ZZ {d(2)} {d(2)} {d(2)} {rng.choice('ABCD')}", f"{rng.choice('ABCGKLMN')}{d(8)}"))
-
-
-def _address(rng: random.Random, lang: str = "en") -> str:
-    who, town = _word(rng, SURNAME_ENDS), _word(rng, PLACE_ENDS)
-    n, code = str(rng.randint(1, 399)), _digits(rng, 5)
-    if lang == "de":
-        return rng.choice((f"{who}straße {n}, {code} {town}", f"{who}platz {n}", f"Am {who}weg {n}a, {code} {town}", f"{who}gasse {n}, {code} {town}"))
-    if lang == "fr":
-        return rng.choice((f"{n} bis, avenue {who}, {code} {town}", f"{n} rue de {who}, {code} {town}", f"{n}, boulevard {who}, {code} {town}"))
-    if lang == "es":
-        return rng.choice((f"Calle {who} {n}, {code} {town}", f"Avenida {who}, {n}, 2º B, {code} {town}", f"Rua {who}, {n}, {code} {town}"))
-    return rng.choice((f"{n} {who} Street, {town}", f"{n} Old {who} Rd, {town}", f"Flat {rng.randint(1, 9)}, {n} {who} Lane, {town}", f"PO Box {n}, {town} {code}", f"{n} {who} Ave., Apt {rng.randint(1, 39)}, {town} {code}"))
-
-
-def _fill(rng: random.Random, template: str) -> list[tuple[str, str | None]]:
-    """Pieces of a filled sentence, each with its type or None."""
-    out: list[tuple[str, str | None]] = []
-    for part in re.split(r"(\[\w+\]|\{\w+\})", template):
-        kind = part[1:-1]
-        if part[:1] == "[" and kind:
-            value = {"name": _name, "email": _email, "phone": _phone, "id": _id}.get(kind)
-            text = value(rng) if value else _local(rng, kind) if kind[-2:] in ("ru", "zh", "ja") else _address(rng, kind[8:] or "en")
-            label = {"id": "id_number"}.get(kind, kind.split("_")[0])
-            wrap = rng.random()
-            if label == "email" and wrap < 0.12 and " " not in text and "&" not in text:
-                out += [('<a href="mailto:', None), (text, label), ('">', None), (text, label), ("</a>", None)]
-            elif wrap < 0.18:
-                out += [("<b>", None), (text, label), ("</b>", None)]
-            else:
-                out.append((text, label))
-        elif part[:1] == "{":
-            noun = rng.choice(_NOUNS)
-            text = {"w": noun, "P": _word(rng, PLACE_ENDS), "Dp": "Anlage", "R": _cyrillic(rng, [""]), "C": _han(rng, 3), "K": "".join(rng.choice(_KANA) for _ in range(3)), "l": _word(rng, PLACE_ENDS).lower(), "date": f"2023-0{_digits(rng, 1)}-1{_digits(rng, 1)}", "en": f"The {noun} of {_word(rng, PLACE_ENDS)} removes {_digits(rng, 4)} {rng.choice(_NOUNS)}s."}.get(kind) or _digits(rng, int(kind[1:]))
-            out.append((text, None))
-        elif part:
-            out.append((part, None))
-    return out
-
-
-def _script(t: str) -> str:
-    return "ja" if re.search("[ぁ-ヿ]|{K}", t) else "zh" if re.search("[㐀-鿿]", t) else "ru" if re.search("[а-я]", t) else "latin"
-
-
-def labelled_table(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """(text, marked spans): a few sentences in a row, plain or in markup."""
-    rng = random.Random(seed)
-    marked, plain = LABELLED.strip().split("\n"), PLAIN.strip().split("\n")
-    of_script = {k: [t for t in plain if _script(t) == k] for k in map(_script, plain)}
-    table = []
-    for k in range(n):
-        middle = marked[k % len(marked)] if k % 6 < 5 else plain[k // 6 % len(plain)]
-        near = of_script[_script(middle)] if rng.random() < 0.8 else plain
-        chosen = [rng.choice(near) for _ in range(rng.randint(0, 1))] + [middle] + [rng.choice(near if rng.random() < 0.85 else marked) for _ in range(rng.randint(0, 1))]
-        before, after = rng.choice((("", " "),) * 5 + (("", "\n"), ("<p>", "</p>"), ("<li>", "</li>"), ("", "<br/>")))
-        text, spans = "", []
-        for c in chosen:
-            text += before
-            for piece, label in _fill(rng, c):
-                if label:
-                    spans.append((len(text), len(text) + len(piece), label))
-                text += piece
-            text += after
-        table.append((text, spans))
-    return table
-
-
 # --- features -----------------------------------------------------------------------------------
 
 
@@ -346,19 +72,52 @@ def _shape(t: str) -> str:
     return ("Xx" if t[0].isupper() else "x") + ("1" if len(t) < 3 else "")
 
 
-def features(t: str) -> list[str]:
-    """Features of a token alone: shape, word, and ending."""
+def features(t: str, blind: bool = False) -> list[str]:
+    """Features of a token alone: shape, lists of names, word, and ending; ``blind`` leaves the last two out."""
     low = t.lower()
-    out = ["s=" + _shape(t), "w=" + low]
+    shape = _shape(t)
+    out = ["s=" + shape]
+    if low in _GIVEN or low in _SURNAMES:  # the list speaks, not the name
+        return out + ["given"] * (low in _GIVEN) + ["surname"] * (low in _SURNAMES) + (["n=" + shape] if shape != "cjk" else [] if blind else ["w=" + low])
+    if blind:
+        return out
+    out.append("w=" + low)
     if t[0].isalpha() and len(t) > 3:
         out += ["e3=" + low[-3:], "e4=" + low[-4:], "c=" + ("X" if t[0].isupper() else "x") + low[-3:]]
-    if low in _GIVEN:
-        out.append("given")
     return out
 
 
 _GIVEN = frozenset(g.lower() for g in GIVEN)
-_JOIN = ("j=0", "j=1", "j=2")  # nothing, blanks, or a line end before the token
+_SURNAMES = frozenset(g.lower() for g in SURNAMES) | frozenset(FAMILY_NAMES)
+#: Coarse classes of tokens; two neighbours and the gap between them (none, blanks, a line end) are one joint.
+CLASSES = 20
+EDGE = 19
+N_JOINTS = 3 * CLASSES * CLASSES
+NO_JOINT = N_JOINTS - 1  # after the last token
+
+
+def coarse(t: str, known: bool) -> int:
+    """Class of a token; ``known``: the labelled table has shown the word often."""
+    low = t.lower()
+    if t[0].isdigit():
+        return min(len(t), 5) - 1
+    if not t[0].isalpha():
+        return 5 if t in ".!?" else 6 if t == "," else 7 if t in "-–/()+" else 8
+    if "぀" <= t[0] <= "鿿":
+        return 9 if low in _SURNAMES else 10
+    if low in _GIVEN:
+        return 11 if t[0].isupper() else 12
+    if low in _SURNAMES:
+        return 13 if t[0].isupper() else 12
+    if t.isupper():
+        return 14 if len(t) == 1 else 15
+    return (16 if known else 17) if t[0].isupper() else 18
+
+
+def _pairs(classes: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """Joint of every token with the one before it; the first stands after an edge."""
+    before = np.concatenate([[EDGE], classes[:-1]]) if len(classes) else classes
+    return (before * CLASSES + classes) * 3 + gaps
 
 
 class Field:
@@ -366,6 +125,7 @@ class Field:
 
     def __init__(self, index: dict[str, int], weights: np.ndarray, joint: np.ndarray, trans: np.ndarray) -> None:
         self.index, self.weights, self.joint, self.trans = index, weights, joint, trans
+        self.digest = hashlib.blake2b(weights.tobytes() + joint.tobytes() + trans.tobytes() + repr(sorted(index)).encode(), digest_size=16).hexdigest()
 
 
 def _joints(text: str, starts: list[int], ends: list[int]) -> list[int]:
@@ -392,80 +152,110 @@ def _allowed() -> np.ndarray:
     return ok
 
 
+class _Batch:
+    """Labelled sentences as arrays, with the sums over their features prepared."""
+
+    def __init__(self, table: list[tuple[list[int], list[int], list[int]]], of_kind: np.ndarray, n_features: int) -> None:
+        self.b, places = len(table), 2 * REACH + 1
+        self.most = most = max(len(own) for own, _, _ in table)
+        ids = np.zeros((self.b, most + 2 * REACH), np.int32)
+        joint_ids = np.full((self.b, most, 2), NO_JOINT, np.int32)
+        gold = np.zeros((self.b, most), np.int32)
+        sizes = np.array([len(own) for own, _, _ in table])
+        for i, (own, js, ys) in enumerate(table):
+            ids[i, REACH : REACH + len(own)] = own
+            joint_ids[i, : len(js), 0] = js
+            joint_ids[i, : len(js), 1] = [*js[1:], NO_JOINT]
+            gold[i, : len(ys)] = ys
+        own_kinds, ids = np.unique(ids, return_inverse=True)
+        ids = ids.reshape(self.b, -1)
+        self.of_kind = of_kind = of_kind[own_kinds]
+        self.mask = np.arange(most)[None] < sizes[:, None]
+        self.rows, self.cols = np.nonzero(self.mask)
+        self.placed = [_Summed(ids[self.rows, self.cols + p], len(of_kind)) for p in range(places)]
+        self.joined = [_Summed(joint_ids[self.rows, self.cols, k], N_JOINTS) for k in range(2)]
+        self.spread = _Summed(of_kind.ravel(), n_features)
+        self.pair_rows, self.pair_cols = np.nonzero(self.mask[:, 1:])
+        transitions = np.zeros((N_LABELS, N_LABELS))
+        np.add.at(transitions, (gold[self.pair_rows, self.pair_cols], gold[self.pair_rows, self.pair_cols + 1]), 1.0)
+        self.observed = [*self._gathered(np.eye(N_LABELS, dtype=np.float32)[gold[self.rows, self.cols]]), transitions]
+
+    def _gathered(self, per_token: np.ndarray) -> list[np.ndarray]:
+        """Sums of a value per token over each place's features, and over each joint."""
+        width = self.of_kind.shape[1]
+        return [np.stack([self.spread.add(np.repeat(p.add(per_token), width, axis=0)) for p in self.placed]), np.stack([j.add(per_token) for j in self.joined])]
+
+    def gradient(self, weights: np.ndarray, joint: np.ndarray, trans: np.ndarray, ok: np.ndarray) -> list[np.ndarray]:
+        """Of the log-likelihood, a sentence, by forward and backward sums."""
+        rows, cols, most = self.rows, self.cols, self.most
+        em = sum(weights[p][self.of_kind].sum(1)[q.ids] for p, q in enumerate(self.placed)) + joint[0][self.joined[0].ids] + joint[1][self.joined[1].ids]
+        dense = np.zeros((self.b, most, N_LABELS), np.float32)
+        dense[rows, cols] = em
+        t = np.where(ok, np.exp(np.clip(trans, -20, 20)), 0).astype(np.float32)
+        x = np.exp(np.clip(dense - dense.max(2, keepdims=True), -60, 0))
+        start = np.ones(N_LABELS, np.float32)
+        start[2::2] = 0
+        alpha, scale = np.zeros_like(x), np.ones((self.b, most), np.float32)
+        for k in range(most):
+            a = x[:, 0] * start if k == 0 else (alpha[:, k - 1] @ t) * x[:, k]
+            scale[:, k] = np.maximum(a.sum(1), 1e-30)
+            alpha[:, k] = a / scale[:, k : k + 1]
+        beta = np.ones_like(x)
+        for k in range(most - 2, -1, -1):
+            after = ((x[:, k + 1] * beta[:, k + 1]) @ t.T) / scale[:, k + 1 : k + 2]
+            beta[:, k] = np.where(self.mask[:, k + 1 : k + 2], after, 1.0)
+        gamma = (alpha * beta)[rows, cols]
+        gamma /= np.maximum(gamma.sum(1, keepdims=True), 1e-30)
+        left = alpha[self.pair_rows, self.pair_cols] / scale[self.pair_rows, self.pair_cols + 1][:, None]
+        expected = [*self._gathered(gamma), (left.T @ (x * beta)[self.pair_rows, self.pair_cols + 1]) * t]
+        return [(o - e) / self.b for o, e in zip(self.observed, expected, strict=True)]
+
+
 @lru_cache(maxsize=1)
-def train(n: int = EXAMPLES, seed: int = SEED, steps: int = STEPS) -> Field:
-    """Fits the field to the labelled table by penalised maximum likelihood (Adam, full batches)."""
+def train(n: int = EXAMPLES, seed: int = SEED, rounds: int = ROUNDS) -> Field:
+    """Fits the field to the labelled table by penalised maximum likelihood (Adam, in batches).
+
+    A share ``BLIND`` of the tokens shows its shape only, so that the field learns to read words that
+    no table holds from their surroundings.
+    """
+    rng = random.Random(seed)
     table = []
     for text, spans in labelled_table(n, seed):
         t, s, e = tokens(text)
         if t:
-            table.append((t, _joints(text, s, e), _labels(s, e, spans)))
+            table.append(([(w, rng.random() < BLIND) for w in t], _joints(text, s, e), _labels(s, e, spans)))
     kinds = {t: k + 1 for k, t in enumerate(sorted({t for own, _, _ in table for t in own}))}  # 0: no token
     counts: dict[str, int] = {}
     for own, _, _ in table:
         for t in own:
-            for f in features(t):
+            for f in features(*t):
                 counts[f] = counts.get(f, 0) + 1
-    index = {f: k + 1 for k, f in enumerate(sorted(f for f, c in counts.items() if c > 3))}  # 0: absent
-    width, most, b, places = 6, max(len(own) for own, _, _ in table), len(table), 2 * REACH + 1
-    of_kind = np.zeros((len(kinds) + 1, width), np.int32)
+    index = {f: k + 1 for k, f in enumerate(sorted(f for f, c in counts.items() if c > SEEN))}  # 0: absent
+    of_kind = np.zeros((len(kinds) + 1, 8), np.int32)
     for t, k in kinds.items():
-        known = [index[f] for f in features(t) if f in index]
+        known = [index[f] for f in features(*t) if f in index]
         of_kind[k, : len(known)] = known
-    ids = np.zeros((b, most + 2 * REACH), np.int32)
-    joint_ids = np.full((b, most, 2), 2, np.int32)
-    gold = np.zeros((b, most), np.int32)
-    sizes = np.array([len(own) for own, _, _ in table])
-    for i, (own, js, ys) in enumerate(table):
-        ids[i, REACH : REACH + len(own)] = [kinds[t] for t in own]
-        joint_ids[i, : len(js), 0] = js
-        joint_ids[i, : len(js), 1] = [*js[1:], 2]
-        gold[i, : len(ys)] = ys
-    mask = np.arange(most)[None] < sizes[:, None]
-    rows, cols = np.nonzero(mask)
-    placed = [_Summed(ids[rows, cols + p], len(kinds) + 1) for p in range(places)]
-    joined = [_Summed(joint_ids[rows, cols, k], 3) for k in range(2)]
-    spread = _Summed(of_kind.ravel(), len(index) + 1)
-    pair_rows, pair_cols = np.nonzero(mask[:, 1:])
-
-    def gathered(per_token: np.ndarray) -> list[np.ndarray]:
-        """Sums of a value per token over each place's features, and over each joint."""
-        return [np.stack([spread.add(np.repeat(p.add(per_token), width, axis=0)) for p in placed]), np.stack([j.add(per_token) for j in joined])]
-
+    classes = {t: coarse(t[0], "w=" + t[0].lower() in index) for t in kinds}
+    rows = [([kinds[t] for t in own], _pairs(np.array([classes[t] for t in own]), np.array(js)).tolist(), ys) for own, js, ys in table]
+    rng.shuffle(rows)
+    rows.sort(key=lambda r: len(r[0]) // 12)  # batches of similar length
+    size = -(-len(rows) // BATCHES)
+    batches = [_Batch(rows[lo : lo + size], of_kind, len(index) + 1) for lo in range(0, len(rows), size)]
     ok = _allowed()
-    params = [np.zeros((places, len(index) + 1, N_LABELS)), np.zeros((2, 3, N_LABELS)), np.zeros((N_LABELS, N_LABELS))]
+    params = [np.zeros(shape, np.float32) for shape in ((2 * REACH + 1, len(index) + 1, N_LABELS), (2, N_JOINTS, N_LABELS), (N_LABELS, N_LABELS))]
     moment, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    transitions = np.zeros((N_LABELS, N_LABELS))
-    np.add.at(transitions, (gold[pair_rows, pair_cols], gold[pair_rows, pair_cols + 1]), 1.0)
-    observed = [*gathered(np.eye(N_LABELS)[gold[rows, cols]]), transitions]
-    start = np.ones(N_LABELS)
-    start[2::2] = 0
-    for step in range(1, steps + 1):
-        weights, joint, trans = params
-        weights[:, 0] = 0
-        em = sum(weights[p][of_kind].sum(1)[placed[p].ids] for p in range(places)) + joint[0][joined[0].ids] + joint[1][joined[1].ids]
-        dense = np.zeros((b, most, N_LABELS))
-        dense[rows, cols] = em
-        t = np.where(ok, np.exp(np.clip(trans, -20, 20)), 0.0)
-        x = np.exp(np.clip(dense - dense.max(2, keepdims=True), -60, 0))
-        alpha, scale = np.zeros_like(x), np.ones((b, most))
-        for k in range(most):
-            a = x[:, 0] * start if k == 0 else (alpha[:, k - 1] @ t) * x[:, k]
-            scale[:, k] = np.maximum(a.sum(1), 1e-290)
-            alpha[:, k] = a / scale[:, k : k + 1]
-        beta = np.ones_like(x)
-        for k in range(most - 2, -1, -1):
-            after = ((x[:, k + 1] * beta[:, k + 1]) @ t.T) / scale[:, k + 1 : k + 2]
-            beta[:, k] = np.where(mask[:, k + 1 : k + 2], after, 1.0)
-        gamma = (alpha * beta)[rows, cols]
-        gamma /= np.maximum(gamma.sum(1, keepdims=True), 1e-290)
-        left = alpha[pair_rows, pair_cols] / scale[pair_rows, pair_cols + 1][:, None]
-        expected = [*gathered(gamma), (left.T @ (x * beta)[pair_rows, pair_cols + 1]) * t]
-        for k, p in enumerate(params):
-            grad = (observed[k] - expected[k]) / b - 3e-5 * p
-            moment[k] = 0.9 * moment[k] + 0.1 * grad
-            second[k] = 0.99 * second[k] + 0.01 * grad * grad
-            p += 0.15 * (moment[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+    step = 0
+    for turn in range(rounds):
+        rng.shuffle(batches)
+        for batch in batches:
+            step += 1
+            params[0][:, 0] = 0
+            rate = 0.12 * (1 - turn / (rounds + 1))
+            for k, (p, g) in enumerate(zip(params, batch.gradient(*params, ok), strict=True)):
+                grad = g - PENALTY * p
+                moment[k] = 0.9 * moment[k] + 0.1 * grad
+                second[k] = 0.99 * second[k] + 0.01 * grad * grad
+                p += rate * (moment[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
     params[0][:, 0] = 0
     return Field(index, params[0].astype(np.float32), params[1].astype(np.float32), np.where(ok, params[2], -1e4).astype(np.float32))
 
@@ -481,7 +271,7 @@ class _Summed:
         self.found = ordered[self.bounds]
 
     def add(self, values: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.size, values.shape[1]))
+        out = np.zeros((self.size, values.shape[1]), values.dtype)
         out[self.found] = np.add.reduceat(values[self.order], self.bounds, axis=0)
         return out
 
@@ -499,6 +289,7 @@ class Decoder:
     def _start(self) -> None:
         self.ids: dict[str, int] = {}
         self.table = np.zeros((1 << 12, 2 * REACH + 1, N_LABELS), np.float32)
+        self.classes = np.zeros(1 << 12, np.int64)
 
     def _rows(self, found: list[str]) -> np.ndarray:
         if len(self.ids) > 300_000:  # bounds the worker's memory
@@ -508,8 +299,10 @@ class Decoder:
             k = ids[t] = len(ids)
             if k + 1 >= len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.classes = np.concatenate([self.classes, np.zeros_like(self.classes)])
             known = [self.field.index[f] for f in features(t) if f in self.field.index]
             self.table[k] = self.field.weights[:, known].sum(1)
+            self.classes[k] = coarse(t, "w=" + t.lower() in self.field.index)
         return np.fromiter(map(ids.__getitem__, found), np.int64, len(found))
 
     def batch(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -531,9 +324,14 @@ class Decoder:
                 same = owner[lo:hi] == owner[lo + off : hi + off]
                 em[lo:hi][same] += self.table[rows[lo + off : hi + off][same], p]
         joints = np.concatenate([np.array(_joints(t, c[1], c[2]), np.int64) for t, c in zip(texts, cut, strict=True)])
+        firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
+        classes = self.classes[rows]
+        before = np.concatenate([[EDGE], classes[:-1]])
+        before[firsts] = EDGE
+        joints += (before * CLASSES + classes) * 3
         em += self.field.joint[0][joints]
-        after = np.r_[joints[1:], 2]
-        after[np.cumsum(sizes)[sizes > 0] - 1] = 2
+        after = np.concatenate([joints[1:], [NO_JOINT]])
+        after[np.cumsum(sizes)[sizes > 0] - 1] = NO_JOINT
         em += self.field.joint[1][after]
         # No path leaves O where every other label loses more than any two transitions can give.
         trans = self.field.trans
@@ -541,15 +339,43 @@ class Decoder:
         hopeful = (em[:, 1:].max(1) - em[:, 0] + gain) > 0
         chosen = np.unique(owner[hopeful])
         ends = np.cumsum(sizes)
-        for lo in range(0, len(chosen), 256):
-            part = chosen[lo : lo + 256]
-            part = part[np.argsort(sizes[part], kind="stable")]
-            for i, path in zip(part, self._viterbi(em, part, ends, sizes), strict=True):
-                self._spans(texts[i], cut[i][1], cut[i][2], path, out[i])
-                if out[i]:
-                    out[i] = repeated(texts[i], out[i])
+        for i, path in self._paths(em, chosen, ends, sizes):
+            out[i] = self._spans(texts[i], cut[i][1], cut[i][2], path)
+        again = [i for i in chosen.tolist() if out[i] and self._recall(texts[i], cut[i][1], cut[i][2], out[i], em[ends[i] - sizes[i] : ends[i]])]
+        for i, path in self._paths(em, np.array(again, np.int64), ends, sizes):
+            out[i] = self._spans(texts[i], cut[i][1], cut[i][2], path)
         return out
 
+    def _paths(self, em: np.ndarray, chosen: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The best path of each chosen text, in groups of similar length and bounded tokens."""
+        chosen = chosen[np.argsort(sizes[chosen], kind="stable")]
+        lo = 0
+        while lo < len(chosen):
+            hi = lo + 1
+            while hi < len(chosen) and (hi + 1 - lo) * sizes[chosen[hi]] <= TOKENS_AT_ONCE:
+                hi += 1
+            yield from zip(chosen[lo:hi].tolist(), self._viterbi(em, chosen[lo:hi], ends, sizes), strict=True)
+            lo = hi
+
+    @staticmethod
+    def _recall(text: str, starts: list[int], ends: list[int], spans: list[tuple[int, int, str]], em: np.ndarray) -> bool:
+        """Adds evidence where the text holds the words of a found span once more; whether it did."""
+        added = False
+        for s, e, kind in spans:
+            if kind == "address":
+                continue
+            said = text[s:e]
+            at = text.find(said)
+            while at >= 0:
+                first, last = bisect.bisect_left(starts, at), bisect.bisect_left(ends, at + len(said))
+                if not any(a < at + len(said) and at < b for a, b, _ in spans) and first < len(starts) and starts[first] == at and last < len(ends) and ends[last] == at + len(said):
+                    label = 1 + 2 * TYPES.index(kind)
+                    em[first, label] += HISTORY
+                    em[first + 1 : last + 1, label + 1] += HISTORY
+                    added = True
+                at = text.find(said, at + len(said))
+        return added
+
     def _viterbi(self, em: np.ndarray, part: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
         most = int(sizes[part].max())
         at = (ends[part] - sizes[part])[:, None] + np.arange(most)[None]
@@ -575,8 +401,11 @@ class Decoder:
         return paths
 
     @staticmethod
-    def _spans(text: str, starts: list[int], ends: list[int], path: np.ndarray, out: list[tuple[int, int, str]]) -> None:
+    def _spans(text: str, starts: list[int], ends: list[int], path: np.ndarray) -> list[tuple[int, int, str]]:
+        out: list[tuple[int, int, str]] = []
         k, n = 0, len(path)
+        if not path.any():
+            return out
         while k < n:
             label = int(path[k])
             if label == 0:
@@ -589,85 +418,126 @@ class Decoder:
             span = fitted(text, starts[k], ends[last], TYPES[kind])
             if span and (not out or span[0] >= out[-1][1]):
                 out.append((*span, TYPES[kind]))
+                if TYPES[kind] == "email" and span[1] < ends[last]:  # two of them in a row
+                    k = max(k + 1, bisect.bisect_left(starts, span[1], k, last + 1))
+                    path[k : last + 1] = [1 + 2 * kind] + [2 + 2 * kind] * (last - k) if k <= last else []
+                    continue
             k = last + 1
+        return out
 
 
 # --- the exact check ------------------------------------------------------------------------------
 
 _AT = r"(?:\s?(?:@|＠|&#64;|&#x40;|&commat;|%40)\s?|\s?[\[(]\s?at\s?[\])]\s?)"
 _DOT = r"(?:\.|&#46;|&#x2e;|&period;|\s?[\[(]\s?dot\s?[\])]\s?)"
-_FORMS = {
-    "email": re.compile(rf"[A-Za-z0-9](?:[\w+-]|{_DOT}(?=[\w+-]))*{_AT}(?:[A-Za-z0-9-]+{_DOT})+[A-Za-z]{{2,}}", re.I),
-    "phone": re.compile(r"(?:\+\d{1,3}[\s.-]?|\(\d{2,5}\)\s?|\b)\d[\d\s./-]{4,}\d(?:,?\s?(?:ext\.?|extension|x|доб\.?|Durchwahl|poste|内线)\s?\d{1,6})?", re.I),
-    "id_number": re.compile(r"(?<![\w])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|\d{3}[- ]\d{2}[- ]\d{4}|\d{6,}-?[A-Z]|[A-Z]{0,3}\d[\dA-Z]{6,}|[A-Z]\d{2}[A-Z]\d{5,})(?![\w])"),
-}
+_L = "A-Za-z0-9À-ɏЀ-ӿ"
+_EMAIL = re.compile(rf"[{_L}](?:[{_L}_+%-]|{_DOT}(?=[{_L}_+-]))*{_AT}(?:[{_L}](?:[{_L}_-]*[{_L}])?{_DOT})+[A-Za-zÀ-ɏЀ-ӿ]{{2,}}", re.I)
+_PHONE = re.compile(r"(?:\+\d{1,3}[\s.-]?)?(?:\d[\s.-]?)?(?:\(\d{1,5}\)[\s.-]?)?\d[\d\s./-]*\d")
+_EXTENSION = re.compile(r",?\s?(?:ext\.?|extension|x|доб\.?|Durchwahl|poste|内线)\s?\d{1,6}", re.I)
+_ID = re.compile(r"(?<![\w])(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|\d{3}[- ]\d{2}[- ]\d{4}|\d{6,}-?[A-Z]|[A-Z]{0,3}\d[\dA-Z]{6,}|[A-Z]\d{2}[A-Z]\d{5,})(?![\w])")
+_LETTERS = r"[^\W\d_]+(?:['’][^\W\d_]+)*"
+_NAME = re.compile(rf"{_LETTERS}\.?(?:(?:, | |-|·|・){_LETTERS}\.?)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
+_NEXT_SENTENCE = re.compile(r"(?<!Ave)(?<!Rd)(?<!St)(?<!ул)(?<!д)(?<!г)(?<!пр)(?<!кв)(?<!str)\.\s+(?=[^\W\d_])")
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][^\W\d_]+(?:[’'][^\W\d_]+)?"
-_NAME = re.compile(rf"(?:{_CAP}(?:-{_CAP})?, {_CAP}|{_CAP}(?: [A-ZА-ЯЁ]\.)? {_CAP}(?:-{_CAP})?)(?: [A-ZА-ЯЁ]\.(?=\W|$))?")
-_SMALL_NAME = re.compile(r"[^\W\dA-Z_]{2,}(?: [^\W\d_]\.)?,? [^\W\dA-Z_]{2,}(?:-[^\W\dA-Z_]+)?|[㐀-鿿]{2,4}|[㐀-鿿]{1,3}[ァ-ヿ]{1,8}")
-_NEXT_SENTENCE = re.compile(r"(?<!Ave)(?<!Rd)(?<!St)(?<!ул)(?<!д)(?<!кв)(?<!str)\.\s+(?=[^\W\d_])")
 _NAME_BEFORE = re.compile(rf"{_CAP}, (?=\d|Flat|PO Box|Apt)")
-_CJK_ADDRESS = re.compile(r"[぀-ヿ㐀-鿿]{1,12}?[路街道巷町市区县県]\d+(?:号|丁目\d+番地|番地|番)?(?:\d+室)?")
-_TITLE = re.compile(r"^(?:mr|mrs|ms|dr|prof|m|mme|sr|sra|herr|frau|don|doña|dona)\b\.?\s", re.I)
+# Titles, which a name does not include, and prepositions, which an address does not.
+_TITLE = re.compile(r"(?:mr|mrs|ms|miss|dr|prof|professor|president|chancellor|sir|lady|m|mme|mlle|monsieur|madame|sr|sra|señor|señora|senhor|senhora|herr|herrn|frau|don|doña|dona|господин|госпожа|доктор|писатель|дорогой|уважаемый|dear|hi)\b\.?\s+", re.I)
+_PREPOSITION = re.compile(r"(?:to|at|in|on|from|near|nach|aus|von|au|aux|en|de|na|no|em|para|в|на|по)\s+(?=\d|[^\W\d_]{3,} [^\W\d_]*\s?\d)", re.I)
+_CJK_ADDRESS = re.compile(r"(?:(?![是在于址到はに])[぀-ヿ㐀-鿿])+?[路街道巷町市区县県]\d+(?:[-－]\d+)*(?:号|丁目\d+番地|番地|番)?(?:\d+室)?")
+_DIGIT = re.compile(r"\d")
+_NO_NUMBER = re.compile(r"[^\W\d_]{3,}[\s:]+")
+
+
+def _words_around(text: str, start: int, end: int, n: int) -> tuple[int, int]:
+    """The span widened to whole runs without blanks, and by ``n`` such runs on each side in its line."""
+    for _ in range(n + 1):
+        while start and text[start - 1] in " \xa0":
+            start -= 1
+        while start and not text[start - 1].isspace() and text[start - 1] not in "<>":
+            start -= 1
+        while end < len(text) and text[end] in " \xa0":
+            end += 1
+        while end < len(text) and not text[end].isspace() and text[end] not in "<>":
+            end += 1
+    return start, end
+
+
+def _run(text: str, start: int, end: int) -> tuple[int, int]:
+    """The span widened to whole runs of letters, digits and the signs inside numbers."""
+    while start and (text[start - 1].isalnum() or text[start - 1] in "+(-"):
+        start -= 1
+    while end < len(text) and (text[end].isalnum() or text[end] == "-"):
+        end += 1
+    return start, end
 
 
 def fitted(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
     """The span in the form of its type, or None if it has not that form."""
-    form = _FORMS.get(kind)
-    if form:
-        for m in form.finditer(text, max(0, start - 40), min(len(text), end + 40)):
-            s, e = m.span()
-            if s < end and e > start:
-                while text[e - 1] in " .-/" or text[e - 1].isspace():
-                    e -= 1
-                return (s, e) if kind != "phone" or sum(c.isdigit() for c in text[s:e]) >= 7 else None
+    if kind == "email":
+        for m in _EMAIL.finditer(text, *_words_around(text, start, end, 2)):
+            if m.start() < end and m.end() > start:
+                return m.span()
+        return None
+    if kind == "phone":
+        for m in _PHONE.finditer(text, *_run(text, start, end)):
+            if m.start() < end and m.end() > start and 6 <= len(_DIGIT.findall(m[0])) <= 15:
+                more = _EXTENSION.match(text, m.end())
+                return m.start(), more.end() if more else m.end()
         return None
+    if kind == "id_number":
+        word = _NO_NUMBER.match(text, start, end)
+        start = word.end() if word else start
+        for m in _ID.finditer(text, *_run(text, start, end)):
+            if m.start() < end and m.end() > start and m.end() - m.start() >= end - start - 2:
+                return m.span()
+        while start < end and not text[start].isalnum():
+            start += 1
+        while start < end and not text[end - 1].isalnum():
+            end -= 1
+        return (start, end) if len(_DIGIT.findall(text, start, end)) >= 5 and not any(c.islower() for c in text[start:end]) else None
     for stop in "\n<":  # a name or an address stays on its line and in its element
         at = text.find(stop, start + 1, end)
         end = at if at > 0 else end
     while start < end and (text[start].isspace() or text[start] in "\"“„«'(,:;.-<>/"):
         start += 1
-    while start < end and (text[end - 1].isspace() or text[end - 1] in "\"”“»')(,:;<>/-" or (text[end - 1] == "." and (kind == "name" or not text[start:end].endswith(("Ave.", "Rd.", "St."))))):
+    while start < end and (text[end - 1].isspace() or text[end - 1] in "\"”“»')(,:;<>/-" or (text[end - 1] == "." and kind == "address" and not text[start:end].endswith(("Ave.", "Rd.", "St.")))):
         end -= 1
     if kind == "name":
-        m = _NAME.search(text, start, end)
-        if m is None:  # written without capitals, or in a script that has none
-            m = _SMALL_NAME.fullmatch(text, start, end)
-        return m.span() if m and not _TITLE.match(m[0]) else None
+        while title := _TITLE.match(text, start, end):
+            start = title.end()
+        m = _NAME.match(text, start, end)
+        if m is None:
+            return None
+        end = m.end()
+        if text[start:end].endswith(("'s", "’s")):
+            end -= 2
+        if text[end - 1] == "." and not (end - start > 2 and text[end - 2].isupper() and text[end - 3] in " ."):
+            end -= 1  # the point of an initial is its own, any other ends the sentence
+        parts = re.split(r"[ ,\-·・]+", text[start:end])
+        return (start, end) if len(parts) > 1 or (_CJK.match(text, start) and end - start > 1) else None
     if _CJK.search(text, start, end):
         m = _CJK_ADDRESS.search(text, start, end + 1)
-        return m.span() if m else None
+        return m.span() if m else (start, end) if _DIGIT.search(text, start, end) else None
+    start = max(start, text.rfind('"', start, end) + 1)
     stop = _NEXT_SENTENCE.search(text, start, end)
     end = stop.start() if stop else end
-    before = _NAME_BEFORE.match(text, start, end)
+    before = _NAME_BEFORE.match(text, start, end) or _PREPOSITION.match(text, start, end)
     start = before.end() if before else start
     if not any(c.isdigit() for c in text[start:end]) or not any(c.isalpha() for c in text[start:end]):
         return None
     return (start, end) if start < end else None
 
 
-def repeated(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The spans and every further place where the same words stand by themselves."""
-    more = []
-    for s, e, kind in spans:
-        said = text[s:e]
-        at = text.find(said)
-        while kind != "address" and at >= 0:
-            end = at + len(said)
-            alone = not (at and text[at - 1].isalnum() and said[0].isalnum()) and not (end < len(text) and text[end].isalnum() and said[-1].isalnum())
-            if alone and not any(a < end and at < b for a, b, _ in spans + more):
-                more.append((at, end, kind))
-            at = text.find(said, end)
-    return sorted(spans + more)
-
-
-_DECODERS: list[Decoder] = []
+_DECODERS: dict[str, Decoder] = {}
 
 
 def _decoder(field: Field) -> Decoder:
-    if not _DECODERS:
-        _DECODERS.append(Decoder(field))
-    return _DECODERS[0]
+    """This worker's decoder for a field, known by a digest of its weights."""
+    if field.digest not in _DECODERS:
+        _DECODERS.clear()
+        _DECODERS[field.digest] = Decoder(field)
+    return _DECODERS[field.digest]
 
 
 def personal_data(df: DataFrame, keys: list[str], text: str) -> DataFrame:
