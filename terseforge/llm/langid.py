@@ -43,6 +43,7 @@ SWITCH = 6.0
 
 # Letters that stand among digits (hexadecimal lines, versions, addresses) are no word.
 WORD = re.compile(r"[ぁ-ゟ]+|[゠-ヿ]+|[㐀-鿿]+|(?<![\w/=])[^\W\d_぀-ヿ㐀-鿿]++(?![0-9_])")
+_NO_BLANKS = re.compile("[぀-鿿]")
 _MARKER = re.compile(r"^(?:human|gpt|user|assistant|system)\s*:\s*", re.I)
 _CITATION = re.compile(r"<(?:cit|ref)\.>")
 
@@ -68,6 +69,16 @@ def _longest(path: str) -> int:
     return max(map(len, pieces(path)), default=1)
 
 
+_PREFIXED: list[tuple[dict[str, int], dict[str, int]]] = []
+
+
+def _prefixed(index: dict[str, int]) -> dict[str, int]:
+    """The pieces with their indexes, and every beginning of a piece that is none with -1."""
+    if not _PREFIXED or _PREFIXED[0][0] is not index:
+        _PREFIXED[:] = [(index, dict.fromkeys((p[:k] for p in index for k in range(1, len(p))), -1) | index)]
+    return _PREFIXED[0][1]
+
+
 def _lattice(words: list[str], index: dict[str, int], longest: int) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids [word, end, length - 1] of every substring, and the words' lengths.
 
@@ -77,15 +88,18 @@ def _lattice(words: list[str], index: dict[str, int], longest: int) -> tuple[np.
     none, unknown = len(index), len(index) + 1
     size = max(map(len, words))
     ids = np.full((len(words), size + 1, min(size, longest)), none, np.int32)
-    get = index.get
+    get = _prefixed(index).get
     for w, word in enumerate(words):
-        for i in range(len(word)):
-            for j in range(i + 1, min(len(word), i + longest) + 1):
+        own, n = ids[w], len(word)
+        for i in range(n):
+            for j in range(i + 1, n + 1):
                 k = get(word[i:j])
-                if k is not None:
-                    ids[w, j, j - i - 1] = k
-            if ids[w, i + 1, 0] == none:
-                ids[w, i + 1, 0] = unknown
+                if k is None:
+                    break  # no piece begins like this
+                if k >= 0:
+                    own[j, j - i - 1] = k
+            if own[i + 1, 0] == none:
+                own[i + 1, 0] = unknown
     return ids, np.fromiter(map(len, words), np.int32, len(words))
 
 
@@ -250,7 +264,7 @@ class Scorer:
             if not any(len(w) > 1 or "぀" <= w <= "鿿" for w in found):
                 found = []  # single letters among signs are no words
             counts[i] = len(found)
-            said[i] = sum(_units(w, WORD_CHARS) for w in found)
+            said[i] = sum(_units(w, WORD_CHARS) for w in found) if _NO_BLANKS.search(t) else len(found)
             words += found
         out = np.zeros((len(texts), len(LANGUAGES)))
         if words:

@@ -19,7 +19,9 @@ lines. Offsets count code points; a unit has no white space at its ends.
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -143,12 +145,40 @@ def rule_tables() -> dict[str, list[Rule]]:
     return tables
 
 
-_TABLES = {name: [(r.breaks, regex.compile(f"(?<={r.before})"), regex.compile(r.after)) for r in rules] for name, rules in rule_tables().items()}
-_AFTER_ALL = [*_TABLES["cjk"], *_TABLES["scripts"], *_TABLES["shared"], *_TABLES["common"]]
+class Cascade:
+    """Tables in the order in which they are asked, compiled.
+
+    Where the end marks touch the position, neighbouring rules of one verdict are one expression,
+    which is true where any of them is; else each rule is asked by itself.
+    """
+
+    def __init__(self, *names: str) -> None:
+        tables = rule_tables()
+        rules = [r for name in names for r in tables[name]]
+        self.single = [(r.breaks, regex.compile(f"(?<={r.before})"), regex.compile(r.after)) for r in rules]
+        runs = [(breaks, list(own)) for breaks, own in itertools.groupby(rules, key=lambda r: r.breaks)]
+        self.fused = [(breaks, regex.compile("|".join(f"(?<={r.before})(?:{r.after})" for r in own)).match) for breaks, own in runs]
+
+    def breaks(self, text: str, marks_end: int, end: int, hi: int) -> bool:
+        """The verdict of the first rule that matches."""
+        if marks_end == end:
+            for breaks, match in self.fused:
+                if match(text, end, hi):
+                    return breaks
+        else:
+            for breaks, before, after in self.single:
+                if after.match(text, end, hi) and before.match(text, marks_end):
+                    return breaks
+        return False
+
+
+_AFTER_ALL = ("cjk", "scripts", "shared", "common")
 #: The cascade by language, and of blocks whose language is not known.
-_CASCADES = {lang: [*_TABLES[lang], *_AFTER_ALL] for lang in ABBREVIATIONS} | {"zh": _AFTER_ALL, "ja": _AFTER_ALL}
-_CASCADES[None] = [r for lang in ABBREVIATIONS for r in _TABLES[lang]] + _AFTER_ALL
-_CANDIDATE = re.compile(rf"(?:\.+|[!?…‽{_FOREIGN}]+[.!?…]*|[。！？｡]+|(?:{_THAI})(?=\s))(?:[\"”’'»)\]」』）】›]|“(?![\w“])|[ \xa0 ]»)*(?:\s?<(?:cit|ref)\.>)*")
+_CASCADES = {lang: Cascade(lang, *_AFTER_ALL) for lang in ABBREVIATIONS} | {"zh": Cascade(*_AFTER_ALL), "ja": Cascade(*_AFTER_ALL), None: Cascade(*ABBREVIATIONS, *_AFTER_ALL)}
+_CLOSING = r"(?:[\"”’'»)\]」』）】›]|“(?![\w“])|[ \xa0 ]»)*(?:\s?<(?:cit|ref)\.>)*"
+_CANDIDATE = re.compile(rf"[.!?…‽。！？｡{_FOREIGN}]+{_CLOSING}")
+_THAI_CANDIDATE = re.compile(rf"(?:[.!?…‽。！？｡{_FOREIGN}]+|(?:{_THAI})(?=\s)){_CLOSING}")
+_THAI_LETTER = re.compile("[ก-๛]")
 _HEADING = re.compile(r"(?:§\.)*§")
 _QUOTE_MARK = re.compile("[\"“„«「『]")
 _QUOTE = re.compile(
@@ -157,24 +187,24 @@ _QUOTE = re.compile(
 )
 
 
+_LANGUAGES_OF = {w: tuple(k for k, own in FUNCTION_WORDS.items() if w in own) for w in frozenset().union(*FUNCTION_WORDS.values())}
+
+
 def block_language(block: str) -> str | None:
     """The language whose function words lead in a block; None where none leads."""
     words = block.lower().split()
-    found = {lang: sum(map(own.__contains__, words)) for lang, own in FUNCTION_WORDS.items()}
-    first, second = sorted(found.values(), reverse=True)[:2]
-    return max(found, key=found.get) if first > second else None
+    found = Counter(lang for w in words if w in _LANGUAGES_OF for lang in _LANGUAGES_OF[w])
+    best = found.most_common(2)
+    return best[0][0] if best and (len(best) == 1 or best[0][1] > best[1][1]) else None
 
 
-def _decides(text: str, start: int, end: int, hi: int, cascade: list) -> bool:
-    """Whether the cascade breaks at ``end``; the end marks begin at ``start``."""
+def _marks_end(text: str, start: int, end: int) -> int:
+    """Where a candidate's marks and quotes end, before its citation markers."""
     at = text.find("<", start, end)
     at = end if at < 0 else at
     while text[at - 1].isspace():
         at -= 1
-    for breaks, before, after in cascade:
-        if after.match(text, end, hi) and before.match(text, at):
-            return breaks
-    return False
+    return at
 
 
 def sentence_spans(text: str | None, lang: str | None = None, lines: bool = False) -> list[tuple[int, int]]:
@@ -186,6 +216,7 @@ def sentence_spans(text: str | None, lang: str | None = None, lines: bool = Fals
     if not text:
         return []
     spans: list[tuple[int, int]] = []
+    candidate = _THAI_CANDIDATE if _THAI_LETTER.search(text) else _CANDIDATE
     for lo, hi, heading in _blocks(text, lines):
         if heading:
             _add(spans, text, lo, hi)
@@ -197,7 +228,7 @@ def sentence_spans(text: str | None, lang: str | None = None, lines: bool = Fals
                 closed.append(m.end())
         begin = lo
         cascade = None
-        for m in _CANDIDATE.finditer(text, lo, hi):
+        for m in candidate.finditer(text, lo, hi):
             start, end = m.span()
             if end >= hi:
                 break
@@ -207,7 +238,7 @@ def sentence_spans(text: str | None, lang: str | None = None, lines: bool = Fals
                     continue
             if cascade is None:
                 cascade = _CASCADES.get(lang or block_language(text[lo:hi]), _CASCADES[None])
-            if _decides(text, start, end, hi, cascade):
+            if cascade.breaks(text, _marks_end(text, start, end), end, hi):
                 _add(spans, text, begin, end)
                 begin = end
         _add(spans, text, begin, hi)
