@@ -2,13 +2,19 @@
 
 Both sides are folded (NFKC, no zero-width characters or soft hyphens, lower case) and cut into
 words, runs of letters and digits. Canonicalisation turns words into template codes: numbers, names
-and units become typed placeholders, the ordinary words of the items stay themselves, and a word
-that no item has matches nothing unless it is written as a name. Windows of ``WINDOW`` codes are hashed on
-both sides and joined by hash; a hit is checked for its slots: every placeholder of the item must
-stand for one value of the document throughout the window and the reverse. Slots that all keep the
-item's values make the passage verbatim, other consistent slots make it re-parameterised.
-
-Words shared verbatim have equal codes whatever their case, so no verbatim window escapes the join.
+and units become typed placeholders, other words stay themselves. A word is a name if the items
+write it with a capital and never without, or if no item has it and the document writes it so.
+
+Every window of ``WINDOW`` words has two hashes. The template hash takes literal words as they are
+and of a placeholder its type and how far back in the window the same value stood, so equal hashes
+mean equal literals and slots that repeat in the same places: each placeholder of one side stands for
+one value of the other throughout, and the reverse. The identity hash takes the words themselves.
+Windows are joined by template hash; equal identities make the passage verbatim, other slots make it
+re-parameterised. Windows of fewer than ``LEAST_LITERAL`` literals are joined by identity alone.
+
+Items within ``ITEM_CHARS`` are indexed in the driver and broadcast, and the documents are read in
+one narrow pass. More items are cut into windows by the cluster and joined with the documents'
+windows by a shuffle, again in one pass over the documents. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -16,11 +22,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +34,14 @@ from terseforge.runtime import small_batches
 
 #: Consecutive words that make a leak.
 WINDOW = 12
-#: Items are broadcast in blocks of at most this many windows (16 bytes each).
-BLOCK_WINDOWS = 2_000_000
-#: Literal words that a window needs before changed slots count as a re-parameterised passage.
+#: Literal words that a window needs before its template speaks for it.
 LEAST_LITERAL = 5
+#: Characters of all items up to which they are indexed in the driver (20 bytes a window, fewer windows than characters).
+ITEM_CHARS = 10_000_000
+#: Distinct words of the items that are broadcast at most (9 bytes each).
+VOCABULARY_WORDS = 20_000_000
+#: Bits of the map by which windows that no item has stay out of the shuffle.
+MAP_BITS = 1 << 26
 
 _WORD = re.compile(r"[^\W_]+")
 _HIDDEN = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤⁦-⁯﻿]")
@@ -40,6 +50,7 @@ UNITS = frozenset("percent prozent cent ciento cento процента km kg mg c
 _NUMBER, _NAME, _UNIT = 1, 2, 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_ALONE = np.uint64(0xA0761D6478BD642F)
 
 
 def fold(text: str | None) -> str:
@@ -62,31 +73,40 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def windows(codes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every run of ``size`` codes."""
-    n = len(codes) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
+def _rolled(size: int, n: int, value) -> np.ndarray:  # noqa: ANN001
+    """Hash of each of ``n`` windows from the values at their places."""
     out = np.zeros(n, np.uint64)
-    mixed = _scramble(codes.astype(np.uint64) * _MIX)
     for k in range(size):
-        out = out * _STEP + mixed[k : k + n]
+        out = out * _STEP + value(k)
     return _scramble(out)
 
 
-@dataclass
-class ItemIndex:
-    """Template windows of a block of items: sorted hashes, and where each window stands."""
+def window_hashes(words: np.ndarray, slots: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(template hash, identity hash, by identity only) of every run of ``size`` words.
 
-    codes: dict[str, int]  # template code of every word of the items
-    ids: dict[str, int]  # identity of every word of the items
-    hashes: np.ndarray
-    owners: np.ndarray
-    starts: np.ndarray
-    texts: list[np.ndarray]  # word identities by owner
-    slots: list[np.ndarray]  # template codes by owner
-    keys: list[int]
-    seen: np.ndarray = field(default_factory=lambda: np.empty(0, bool))
+    ``words``: hash of each word; ``slots``: its placeholder type, or 0 for a literal.
+    """
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool)
+    mixed = _scramble(words * _MIX)
+    identity = _rolled(size, n, lambda k: mixed[k : k + n])
+    at = np.flatnonzero(slots)
+    back = np.full(len(words), size, np.int64)  # words back to the same value, where it is a placeholder
+    order = at[np.argsort(words[at], kind="stable")]
+    if len(order) > 1:
+        step = np.diff(order)
+        same = words[order[1:]] == words[order[:-1]]
+        back[order[1:][same]] = np.minimum(step[same], size)
+    first, again = mixed.copy(), mixed
+    first[at] = _scramble(slots[at].astype(np.uint64) * _MIX + np.uint64(1))
+    if len(at):
+        again = first.copy()
+        again[at] = _scramble((slots[at].astype(np.uint64) * np.uint64(64) + back[at].astype(np.uint64)) * _MIX)
+    template = _rolled(size, n, lambda k: np.where(back[k : k + n] <= k, again[k : k + n], first[k : k + n]))
+    literals = np.concatenate([[0], np.cumsum(slots == 0)])
+    alone = literals[size:] - literals[:-size] < LEAST_LITERAL
+    return np.where(alone, _scramble(identity ^ _ALONE), template), identity, alone
 
 
 def _names(texts: list[str]) -> set[str]:
@@ -102,131 +122,218 @@ def _names(texts: list[str]) -> set[str]:
     return capital - small
 
 
-def build_index(items: list[tuple[int, str]], size: int = WINDOW) -> ItemIndex:
-    """Template index of (item id, text) pairs."""
-    texts = [t or "" for _, t in items]
-    names = _names(texts)
-    split = [words(t) for t in texts]
-    ids: dict[str, int] = {}
-    codes: dict[str, int] = {}
-    for w in (w for ws in split for w in ws):
-        if w not in ids:
-            ids[w] = len(ids) + 16
-            codes[w] = _NUMBER if w[0].isdigit() else _UNIT if w in UNITS else _NAME if w in names else ids[w]
-    identity = [np.array([ids[w] for w in ws], np.int64) for ws in split]
-    slots = [np.array([codes[w] for w in ws], np.int64) for ws in split]
-    hashed = [windows(s, size) for s in slots]
-    hashes = np.concatenate([*hashed, np.empty(0, np.uint64)])
-    order = np.argsort(hashes, kind="stable")
-    owners = np.repeat(np.arange(len(items)), [len(h) for h in hashed])[order]
-    starts = np.concatenate([*[np.arange(len(h)) for h in hashed], np.empty(0, np.int64)])[order]
-    index = ItemIndex(codes, ids, hashes[order], owners, starts.astype(np.int64), identity, slots, [i for i, _ in items])
-    index.seen = np.zeros(1 << 22, bool)
-    index.seen[(index.hashes >> np.uint64(42)).astype(np.int64)] = True
-    return index
-
-
-class _Coder:
-    """Codes and identities of document words; words of no item get identities of their own."""
-
-    def __init__(self, index: ItemIndex) -> None:
-        self.index = index
-        self.table: dict[str, int] = dict(index.codes)
-
-    def codes(self, found: list[str]) -> np.ndarray:
-        table, index = self.table, self.index
-        if len(table) > 2_000_000:  # bounds the worker's memory
-            table = self.table = dict(index.codes)
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+@dataclass
+class Vocabulary:
+    """Hashes of the items' words, sorted, and which of them are names."""
+
+    words: np.ndarray
+    names: np.ndarray
+
+    @classmethod
+    def of(cls, words: dict[int, bool]) -> Vocabulary:
+        hashes = np.fromiter(words, np.uint64, len(words))
+        flags = np.fromiter(words.values(), bool, len(words))
+        order = np.argsort(hashes)
+        return cls(hashes[order], flags[order])
+
+    def find(self, word: int) -> bool | None:
+        """Whether a word is a name; None if the items have it not."""
+        k = int(np.searchsorted(self.words, np.uint64(word)))
+        return bool(self.names[k]) if k < len(self.words) and int(self.words[k]) == word else None
+
+
+class Coder:
+    """Hashes and placeholder types of words, found once each; one serves a Python worker's task."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        self.table: dict[str, tuple[int, int]] = {}
+
+    def __call__(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.table) > 1_000_000:  # bounds the worker's memory
+            self.table = {}
+        table = self.table
         for w in {w for w in found if w not in table}:
             low = w.lower()
-            c = index.codes.get(low)
-            if c is None:
-                c = _NUMBER if w[0].isdigit() else _UNIT if low in UNITS else _NAME if w[0].isupper() and len(w) > 3 else -1 - len(table)
-            table[w] = c
-        return np.fromiter(map(table.__getitem__, found), np.int64, len(found))
-
-
-def _consistent(item: np.ndarray, slots: np.ndarray, doc: list[str], known: dict[str, int]) -> str | None:
-    """Kind of a window hit: verbatim, re-parameterised, or None where slots contradict each other."""
-    there: dict[int, str] = {}
-    back: dict[str, int] = {}
-    same = True
-    for value, code, word in zip(item.tolist(), slots.tolist(), doc, strict=True):
-        low = word.lower()
-        if known.get(low) != value:
-            same = False
-            if code > _UNIT:
-                return None  # a literal that only collided
-        if there.setdefault(value, low) != low or back.setdefault(low, value) != value:
-            return None
-    if same:
-        return "verbatim"
-    return "reparameterised" if int((slots > _UNIT).sum()) >= LEAST_LITERAL else None
-
-
-def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", size: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Every (document, item) that share a template window with consistent slots: kind and counts.
-
-    Columns: ``doc_key``, ``item_key``, kind (``verbatim`` or ``reparameterised``), windows. A pair
-    has one row; any verbatim window makes it verbatim. Null and short texts share nothing.
-    The items are the stated query set: they are taken in blocks of at most ``block_windows`` windows,
-    each broadcast and held against all documents, whose rows are neither shuffled nor copied.
+            h = _hash(low)
+            if w[0].isdigit():
+                kind = _NUMBER
+            elif low in UNITS:
+                kind = _UNIT
+            else:
+                name = self.vocabulary.find(h)
+                kind = _NAME if name or (name is None and w[0].isupper() and len(w) > 3) else 0
+            table[w] = (h, kind)
+        pairs = [table[w] for w in found]
+        return np.array([h for h, _ in pairs], np.uint64), np.array([k for _, k in pairs], np.int8)
+
+
+def vocabulary_of(texts: list[str]) -> Vocabulary:
+    """The words of all items, and the names among them."""
+    names = _names(texts)
+    return Vocabulary.of({_hash(w): w in names for w in {w for t in texts for w in words(t)}})
+
+
+@dataclass
+class ItemIndex:
+    """Windows of all items, sorted by template hash."""
+
+    vocabulary: Vocabulary
+    templates: np.ndarray
+    identities: np.ndarray
+    alone: np.ndarray
+    owners: np.ndarray
+    keys: pa.Array
+    seen: np.ndarray
+
+    def hits(self, templates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window of the document, window of the index) for equal template hashes."""
+        maybe = np.flatnonzero(self.seen[(templates >> np.uint64(40)).astype(np.int64)])
+        lo = np.searchsorted(self.templates, templates[maybe], "left")
+        n = np.searchsorted(self.templates, templates[maybe], "right") - lo
+        ends = np.cumsum(n)
+        return np.repeat(maybe, n), np.arange(int(n.sum())) - np.repeat(ends - n, n) + np.repeat(lo, n)
+
+
+def build_index(keys: pa.Array, texts: list[str | None], size: int = WINDOW) -> ItemIndex:
+    """Index of items; an item's equal windows stand in it once."""
+    known = [t or "" for t in texts]
+    vocabulary = vocabulary_of(known)
+    coder = Coder(vocabulary)
+    parts = [window_hashes(*coder(_WORD.findall(fold(t))), size) for t in known]
+    owners = np.repeat(np.arange(len(known)), [len(t) for t, _, _ in parts])
+    templates, identities, alone = (np.concatenate([*[p[k] for p in parts], np.empty(0, kind)]) for k, kind in enumerate((np.uint64, np.uint64, bool)))
+    order = np.lexsort((owners, identities, templates))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([a[order][1:] != a[order][:-1] for a in (templates, identities, owners)], axis=0)
+    order = order[new]
+    seen = np.zeros(1 << 24, bool)
+    seen[(templates >> np.uint64(40)).astype(np.int64)] = True
+    return ItemIndex(vocabulary, templates[order], identities[order], alone[order], owners[order], keys, seen)
+
+
+def _batch_windows(coder: Coder, texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of a batch of texts that lie in one text: owner, template, identity, by identity only."""
+    found = [_WORD.findall(fold(t)) for t in texts]
+    owner = np.repeat(np.arange(len(texts)), [len(ws) for ws in found])
+    templates, identities, alone = window_hashes(*coder([w for ws in found for w in ws]), size)
+    n = len(templates)
+    inside = owner[:n] == owner[size - 1 : size - 1 + n]
+    return owner[:n][inside], templates[inside], identities[inside], alone[inside]
+
+
+def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", size: int = WINDOW, item_chars: int = ITEM_CHARS) -> DataFrame:
+    """Every (document, item) that share a window of equal template: kind and counts.
+
+    Columns: ``doc_key``, ``item_key`` (of any type), kind (``verbatim`` or ``reparameterised``),
+    windows (of the document). A pair has one row; any verbatim window makes it verbatim. Null and
+    short texts share nothing; empty tables give no rows. A document that comes twice is reported
+    twice in the narrow pass, once a key in the shuffled one. Other columns are ignored.
     """
-    spark = documents.sparkSession
-    small_batches(spark, 1000)
-    parts: list[DataFrame] = []
-    block: list[tuple[int, str]] = []
-    room = block_windows
-    for row in items.select(item_key, item_text).toLocalIterator():
-        n = len(row[1] or "") // 2 + 1  # more than its windows
-        if block and n > room:
-            parts.append(_against(documents, spark.sparkContext.broadcast(build_index(block, size)), doc_key, text, item_key, size))
-            block, room = [], block_windows
-        block.append((row[0], row[1]))
-        room -= n
-    parts.append(_against(documents, spark.sparkContext.broadcast(build_index(block, size)), doc_key, text, item_key, size))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    small_batches(documents.sparkSession, 1000)
+    docs = documents.select(F.col(doc_key), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
+    asked = items.select(F.col(item_key), F.col(item_text).alias("__text")).where(F.col("__text").isNotNull())
+    chars = asked.agg(F.coalesce(F.sum(F.length("__text")), F.lit(0)).alias("n")).first()["n"]
+    return _narrow(docs, asked, size) if chars <= item_chars else _shuffled(docs, asked, size)
 
 
-def _against(documents: DataFrame, index: Broadcast, doc_key: str, text: str, item_key: str, size: int) -> DataFrame:
-    source = documents.select(F.col(doc_key), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
-    schema = f"`{doc_key}` {source.schema[0].dataType.simpleString()}, `{item_key}` bigint, kind string, windows bigint"
+def _narrow(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
+    """One pass over the documents against a broadcast index."""
+    doc_key, item_key = docs.columns[0], asked.columns[0]
+    table = asked.toArrow()  # bounded by the caller's measure
+    index = docs.sparkSession.sparkContext.broadcast(build_index(table.column(0).combine_chunks(), table.column(1).to_pylist(), size))
+    schema = f"`{doc_key}` {docs.schema[0].dataType.simpleString()}, `{item_key}` {asked.schema[0].dataType.simpleString()}, kind string, windows bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.value
-        coder = _Coder(known)
+        coder = Coder(known.vocabulary)
+        for batch in batches:
+            owner, templates, identities, _ = _batch_windows(coder, batch.column(1).to_pylist(), size)
+            mine, theirs = known.hits(templates)
+            same = identities[mine] == known.identities[theirs]
+            fits = same | ~known.alone[theirs]
+            mine, theirs, same = mine[fits], theirs[fits], same[fits]
+            # One entry per window of the document and item, then one per document and item.
+            pairs, at = np.unique(np.stack([owner[mine], known.owners[theirs], mine], 1) if len(mine) else np.empty((0, 3), np.int64), axis=0, return_inverse=True)
+            verbatim = np.zeros(len(pairs), bool)
+            np.logical_or.at(verbatim, at.ravel(), same)
+            rows, at, n = np.unique(pairs[:, :2], axis=0, return_inverse=True, return_counts=True)
+            whole = np.zeros(len(rows), bool)
+            np.logical_or.at(whole, at.ravel(), verbatim)
+            kinds = pa.array(np.where(whole, "verbatim", "reparameterised").tolist(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[:, 0])), known.keys.take(pa.array(rows[:, 1])), kinds, pa.array(n, pa.int64())], names=[doc_key, item_key, "kind", "windows"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _windows(df: DataFrame, key: str, vocabulary, size: int, wanted=None) -> DataFrame:  # noqa: ANN001
+    """``key``, t (template), i (identity), alone of every window; ``wanted`` may hold a map of the templates asked for."""
+    schema = f"`{key}` {df.schema[0].dataType.simpleString()}, t bigint, i bigint, alone boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(vocabulary.value)
+        for batch in batches:
+            owner, templates, identities, alone = _batch_windows(coder, batch.column(1).to_pylist(), size)
+            if wanted is not None:
+                bit = (templates & np.uint64(MAP_BITS - 1)).astype(np.int64)
+                kept = (wanted.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                owner, templates, identities, alone = owner[kept], templates[kept], identities[kept], alone[kept]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(templates.view(np.int64)), pa.array(identities.view(np.int64)), pa.array(alone)], names=[key, "t", "i", "alone"])
+
+    return df.mapInArrow(run, schema)
+
+
+def _item_vocabulary(asked: DataFrame) -> Vocabulary:
+    """The vocabulary of many items, put together by the cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            found: list[list[str]] = [_WORD.findall(fold(t)) for t in texts]
-            everything = [w for ws in found for w in ws]
-            rows: dict[tuple[int, int], list] = {}
-            if len(everything) >= size and len(known.hashes):
-                ends = np.cumsum([len(ws) for ws in found])
-                begins = ends - [len(ws) for ws in found]
-                hashes = windows(coder.codes(everything), size)
-                maybe = np.flatnonzero(known.seen[(hashes >> np.uint64(42)).astype(np.int64)])
-                lo = np.searchsorted(known.hashes, hashes[maybe], "left")
-                hi = np.searchsorted(known.hashes, hashes[maybe], "right")
-                hit = hi > lo
-                for at, a, b in zip(maybe[hit].tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True):
-                    doc = int(np.searchsorted(ends, at, "right"))
-                    if at + size > ends[doc] or at < begins[doc]:
-                        continue  # the window runs into the next document
-                    said = everything[at : at + size]
-                    for w in range(a, b):
-                        owner, start = int(known.owners[w]), int(known.starts[w])
-                        kind = _consistent(known.texts[owner][start : start + size], known.slots[owner][start : start + size], said, known.ids)
-                        if kind:
-                            entry = rows.setdefault((doc, known.keys[owner]), [False, 0])
-                            entry[0] |= kind == "verbatim"
-                            entry[1] += 1
-            keys = batch.column(0).take(pa.array([d for d, _ in rows], pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.array([i for _, i in rows], pa.int64()), pa.array(["verbatim" if v else "reparameterised" for v, _ in rows.values()], pa.string()), pa.array([n for _, n in rows.values()], pa.int64())],
-                names=[doc_key, item_key, "kind", "windows"],
-            )
-
-    return source.mapInArrow(run, schema)
+            small, capital = {}, _names(texts)
+            for t in texts:
+                for m in _WORD.finditer(fold(t)):
+                    low = m[0].lower()
+                    small[low] = small.get(low, False) or m[0][0].islower()
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([_hash(w) for w in small], np.uint64).view(np.int64)), pa.array(list(small.values())), pa.array([w in capital for w in small])], names=["h", "small", "capital"])
+
+    found = asked.mapInArrow(run, "h bigint, small boolean, capital boolean").groupBy("h").agg((F.bool_or("capital") & ~F.bool_or("small")).alias("name"))
+    n = found.count()
+    if n > VOCABULARY_WORDS:
+        raise ValueError(f"the items have {n} distinct words; more than {VOCABULARY_WORDS} are not broadcast")
+    table = found.toArrow()
+    hashes = table.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return Vocabulary(hashes[order], table.column(1).to_numpy()[order].astype(bool))
+
+
+def _map_of(windows: DataFrame) -> np.ndarray:
+    """The templates that items have, as bits; put together from a few parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(MAP_BITS >> 3, np.uint8)
+        for batch in batches:
+            bit = (batch.column(0).to_numpy().view(np.uint64) & np.uint64(MAP_BITS - 1)).astype(np.int64)
+            np.bitwise_or.at(bits, bit >> 3, np.left_shift(np.uint8(1), (bit & 7).astype(np.uint8)))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(MAP_BITS >> 3, np.uint8)
+    for row in windows.select("t").repartition(16).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _shuffled(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
+    """Windows of both sides joined by template hash."""
+    doc_key, item_key = docs.columns[0], asked.columns[0]
+    sc = docs.sparkSession.sparkContext
+    vocabulary = sc.broadcast(_item_vocabulary(asked))  # bounded by VOCABULARY_WORDS
+    theirs = _windows(asked, item_key, vocabulary, size).distinct().withColumnsRenamed({item_key: "__item", "i": "__i"})
+    mine = _windows(docs, doc_key, vocabulary, size, sc.broadcast(_map_of(theirs))).groupBy(doc_key, "t", "i").agg(F.count("*").alias("n")).withColumnRenamed(doc_key, "__doc")  # MAP_BITS bits
+    same = F.col("i") == F.col("__i")
+    met = mine.join(theirs, "t").where(same | ~F.col("alone")).groupBy("__doc", "__item", "t", "i").agg(F.bool_or(same).alias("same"), F.first("n").alias("n"))
+    rows = met.groupBy("__doc", "__item").agg(F.when(F.bool_or("same"), "verbatim").otherwise("reparameterised").alias("kind"), F.sum("n").alias("windows"))
+    return rows.select(F.col("__doc").alias(doc_key), F.col("__item").alias(item_key), "kind", "windows")
