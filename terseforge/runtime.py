@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -19,6 +21,7 @@ def session(app: str = "terseforge", cores: str | None = None) -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -55,14 +58,30 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint that outlives any executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests, one machine) a temporary folder is chosen.
+    Only on a local master may it be unset; a temporary folder then serves, and goes when the session's
+    driver ends. On a cluster a folder of one machine would be lost with it, so that is an error.
     """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if "folder" not in _LOCAL:
+        _LOCAL["folder"] = tempfile.mkdtemp(prefix="terseforge-")
+        atexit.register(shutil.rmtree, _LOCAL["folder"], ignore_errors=True)
+    return "file://" + _LOCAL["folder"]
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint that outlives any executor, in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="terseforge-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

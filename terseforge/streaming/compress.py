@@ -8,13 +8,15 @@ joins a static model table instead.
 
 from __future__ import annotations
 
-import tempfile
+import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terseforge.functions import text as T
 from terseforge.operators import masking as M
+from terseforge.runtime import shared_folder
 
 
 def length_score(sentence: Column) -> Column:
@@ -36,14 +38,8 @@ def compress_stream_once(spark: SparkSession, path: str, key: str, text: str, ra
     Offsets and results go under ``out`` (a folder that executors share); a run that is started again
     with the same folder goes on where the last one stopped and writes no file twice.
     """
-    root = out or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    if out is None:
-        import uuid
-
-        root = f"{root}/stream-{uuid.uuid4().hex}"
+    root = out or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     static = spark.read.parquet(path)
-    import os
-
     local = path.removeprefix("file://")
     source = path if os.path.isdir(local) else f"{os.path.dirname(path)}/{os.path.basename(path)}*"
     stream = spark.readStream.schema(static.schema).parquet(source)
