@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +13,10 @@ from terseforge.llm.langid import document_languages, label_faults
 from terseforge.llm.leaks import leaks
 from terseforge.llm.neardup import groups, near_duplicates, record_pairs
 from terseforge.llm.pii import personal_data, redacted
-from terseforge.llm.pieces import boundary_tables, cut_levels, piece_offsets, table_ranges
+from terseforge.llm.pieces import cut_levels, file_places, item_places, item_summaries, piece_offsets
 from terseforge.llm.sentences import sentence_units
 from terseforge.llm.tokens import mixture, token_counts
-from terseforge.runtime import spread, table
+from terseforge.runtime import shared_folder, spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +81,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(articles.unionByName(units), "record_id", "text", keep=("record_table",))
 
 
-def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundary tables of every item over the limit: article texts, their sections, contexts."""
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item: article texts, their sections, contexts."""
     articles, contexts = table(spark, sf_dir, "articles"), table(spark, sf_dir, "contexts")
 
     def items(df: DataFrame, name: str, key: str, section: Column, text: str) -> DataFrame:
@@ -89,7 +90,7 @@ def _oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     sections = articles.select("row_id", F.posexplode("sections").alias("no", "section"))
     every = [items(articles, "articles", "row_id", F.lit(-1), "text"), items(sections, "sections", "row_id", F.col("no"), "section"), items(contexts, "contexts", "context_id", F.lit(-1), "context")]
-    return boundary_tables(table_ranges(every[0].unionByName(every[1]).unionByName(every[2]), ITEM, "text"), ITEM)
+    return every[0].unionByName(every[1]).unionByName(every[2])
 
 
 ITEM = ["item_table", "item_id", "section_no"]
@@ -97,12 +98,25 @@ ITEM = ["item_table", "item_id", "section_no"]
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items over 6,000 characters and the coarsest boundary that alone brings them under it."""
-    return cut_levels(_oversized(spark, sf_dir), ITEM)
+    return cut_levels(item_summaries(_items(spark, sf_dir), ITEM, "text"), ITEM)
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of the items over 6,000 characters, by offset."""
-    return piece_offsets(_oversized(spark, sf_dir), ITEM)
+    return piece_offsets(item_places(_items(spark, sf_dir), ITEM, "text"), ITEM)
+
+
+#: Giant files that ``p5_files`` makes of the articles.
+FILES = 4
+
+
+def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of giant files, read by byte range: all articles, written one after the other to a few files in the shared folder."""
+    folder = f"{shared_folder(spark)}/giant-files-{uuid.uuid4().hex}"
+    texts = table(spark, sf_dir, "articles").where(F.col("text").isNotNull()).select(F.pmod("row_id", F.lit(FILES)).alias("file"), "row_id", F.concat(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit("\n")).alias("value"))
+    texts.repartition("file").sortWithinPartitions("file", "row_id").select("file", "value").write.partitionBy("file").text(folder)
+    pieces = piece_offsets(file_places(spark, folder), ["path"])
+    return pieces.select(F.regexp_extract("path", r"file=(\d+)", 1).cast("bigint").alias("file"), "piece_no", "start_pos", "end_pos", "cut_level")
 
 
 def p6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +171,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_budget": p6_budget, "p6_tokens": p6_tokens, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p5_files": p5_files, "p6_budget": p6_budget, "p6_tokens": p6_tokens, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -73,8 +73,8 @@ def _long_texts():
 def test_cut_level_against_whole_text(spark):
     texts = _long_texts()
     df = _items(spark, texts)
-    for size in (20_000, 7_000):
-        got = {r["id"]: r["cut_level"] for r in pieces.cut_levels(pieces.boundary_tables(pieces.table_ranges(df, ["id"], "text", size=size), ["id"]), ["id"]).collect()}
+    for size in (200_000, 7_000, 1):
+        got = {r["id"]: r["cut_level"] for r in pieces.cut_levels(pieces.item_summaries(df, ["id"], "text", size=size), ["id"]).collect()}
         for i, t in enumerate(texts):
             if not t or len(t) <= pieces.LIMIT:
                 assert i not in got
@@ -89,12 +89,11 @@ def test_cut_level_against_whole_text(spark):
             assert got[i] == want, (i, size)
 
 
-@pytest.mark.parametrize(("block", "size"), [(64, 20_000), (1, 20_000), (2, 7_000)])
-def test_pieces_cover_overlap_and_keep_the_limit(spark, monkeypatch, block, size):
+@pytest.mark.parametrize("size", [200_000, 7_000, 1])
+def test_pieces_cover_overlap_and_keep_the_limit(spark, size):
     texts = _long_texts()
     df = _items(spark, texts)
-    monkeypatch.setattr(pieces, "BLOCK", block)
-    offsets = pieces.piece_offsets(pieces.boundary_tables(pieces.table_ranges(df, ["id"], "text", size=size), ["id"]), ["id"])
+    offsets = pieces.piece_offsets(pieces.item_places(df, ["id"], "text", size=size), ["id"])
     by: dict[int, list] = {}
     for r in pieces.piece_texts(df, offsets, ["id"], "text").orderBy("id", "piece_no").collect():
         by.setdefault(r["id"], []).append(r)
@@ -110,15 +109,30 @@ def test_pieces_cover_overlap_and_keep_the_limit(spark, monkeypatch, block, size
     assert {r["cut_level"] for r in by[2]} == {"none", "end"} and {r["cut_level"] for r in by[3]} == {"space", "end"}
 
 
-def test_file_ranges_equal_the_table(spark, tmp_path):
-    text = "\n\n".join(f"Absatz {k} über Öl und 漢字。 {'wort ' * 40}" for k in range(300))
-    path = tmp_path / "big.txt"
-    path.write_text(text, encoding="utf-8")
-    ranges = pieces.file_ranges(spark, [str(path)], size=5000, halo=4000)
-    rows = ranges.orderBy("range_no").collect()
-    assert "".join(r["chunk"][r["lead"] : r["lead"] + r["own"]] for r in rows) == text
-    got = pieces.piece_offsets(pieces.boundary_tables(ranges, ["path"]), ["path"]).orderBy("piece_no").collect()
-    assert got[-1]["end_pos"] == len(text) and all(r["end_pos"] - r["start_pos"] <= pieces.LIMIT for r in got)
+@pytest.mark.parametrize("end", ["", "\n", "\n\n", "\n\n\n  \n"])
+def test_byte_ranges_of_a_file_equal_the_whole_text(spark, tmp_path, end):
+    rng = random.Random(3)
+    blocks = [f"Absatz {k} über Öl und 漢字。 {'wort ' * rng.choice((3, 40, 400))}. Das war es." + "\n" * rng.randint(0, 2) for k in range(60)]
+    text = "\n\n" + ("\n\n" + "x" * 9000 + "\n \n").join(["\n\n".join(blocks), _text(rng, 3000), "§ Teil\nEnde"]) + end
+    folder = tmp_path / "files"
+    folder.mkdir()
+    (folder / "big.txt").write_text(text, encoding="utf-8")
+    (folder / "small.txt").write_text("Short. Text.", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    got = {}
+    try:
+        for most in ("7000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            cuts = pieces.piece_offsets(pieces.file_places(spark, str(folder), size=3000), ["path"])
+            levels = pieces.cut_levels(pieces.file_summaries(spark, str(folder), size=3000), ["path"])
+            got[most] = [tuple(r)[1:] for r in cuts.orderBy("path", "piece_no").collect()], [r["cut_level"] for r in levels.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    df = _items(spark, [text])
+    want = [tuple(r)[1:] for r in pieces.piece_offsets(pieces.item_places(df, ["id"], "text"), ["id"]).orderBy("piece_no").collect()]
+    assert want[-1][2] == len(text)
+    for most in got:
+        assert got[most] == (want, [r["cut_level"] for r in pieces.cut_levels(pieces.item_summaries(df, ["id"], "text"), ["id"]).collect()]), most
 
 
 # --- near duplicates --------------------------------------------------------------------------------

@@ -49,20 +49,37 @@ def test_judgements_do_not_fail(t):
     assert answers.is_empty(said) in (True, False)
     if not answers.is_empty(said):
         assert answers.is_truncated(said) in (True, False)
-        answers.opening(said)
+        assert all(f and 0 <= c < 2**63 for f, _, c in answers.forms(said))
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(st.sampled_from("ab .\n"), min_size=1, max_size=600), st.integers(40, 120))
-def test_packed_stretches_keep_the_reach(t, reach):
-    found = pieces.boundaries(t, 0, len(t))
-    levels = [sorted({b for _, b in found[v]}) for v in pieces.LEVELS[:2]] + [pieces.spaces(t, 0, len(t), reach // 4)]
-    cut = pieces.packed(0, len(t), levels, reach)
+@given(st.text(st.sampled_from("ab .\n"), min_size=1, max_size=600), st.integers(40, 120), st.integers(1, 300))
+def test_packed_stretches_keep_the_reach(t, reach, size):
+    packer, cut = pieces.Packer(reach), []
+    for chunk in pieces.ranges_of(t, size):
+        cut += packer.add(len(chunk), pieces.Boundaries(chunk).places(reach))
+    cut = [(end, level) for _, end, level in [*cut, *packer.end(0)]]
     places = [0, *[a for a, _ in cut]]
     assert places[-1] == len(t) and all(0 < b - a <= reach for a, b in zip(places, places[1:], strict=False))
+    whole = pieces.Boundaries(t)
+    levels = [whole.cuts, whole.inner, [k + 1 for k, c in enumerate(t) if c.isspace()]]
     for (a, _), (b, level) in zip([(0, ""), *cut], cut, strict=False):
-        if level in ("sentence", "space", "none"):  # no coarser boundary would have done
-            assert not any(a < x <= a + reach for x in levels[0])
+        if level != "end":  # the farthest place of the coarsest level that has one
+            found = [(max((x for x in own if a < x <= a + reach), default=None), v) for own, v in zip(levels, pieces.LEVELS, strict=True)]
+            assert (b, level) == next(((x, v) for x, v in found if x is not None), (a + reach, "none"))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("ab .\n"), min_size=1, max_size=400), st.integers(1, 200))
+def test_summaries_of_ranges_add_up_to_the_whole(t, size):
+    one, many = pieces.Summary(), pieces.Summary()
+    one.add(pieces.Boundaries(t), 0)
+    for chunk in pieces.ranges_of(t, size):
+        many.add(pieces.Boundaries(chunk), 0)
+    assert (one.own, one.first, one.last) == (many.own, many.first, many.last)
+    for k in range(len(pieces.LEVELS)):
+        assert one.heads[k] == many.heads[k], pieces.LEVELS[k]
+        assert one.longest[k] == many.longest[k], pieces.LEVELS[k]
 
 
 @settings(max_examples=100, deadline=None)

@@ -11,8 +11,8 @@ REACH = pieces.LIMIT - pieces.OVERLAP
 
 def _farthest(t):
     """Cuts by the rule itself, read from the whole text."""
-    found = pieces.boundaries(t, 0, len(t))
-    levels = [sorted({b for _, b in found[v]}) for v in pieces.LEVELS[:2]] + [[k + 1 for k, c in enumerate(t) if c.isspace()]]
+    found = pieces.Boundaries(t)
+    levels = [found.cuts, found.inner, [k + 1 for k, c in enumerate(t) if c.isspace()]]
     at, out = 0, []
     while len(t) - at > REACH:
         within = [(max((p for p in places if at < p <= at + REACH), default=None), v) for places, v in zip(levels, pieces.LEVELS, strict=True)]
@@ -30,11 +30,11 @@ def _texts():
     ]
 
 
-@pytest.mark.parametrize("size", [20_000, 7_000])
+@pytest.mark.parametrize("size", [200_000, 7_000, 1])
 def test_farthest_white_space(spark, size):
     texts = _texts()
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    offsets = pieces.piece_offsets(pieces.boundary_tables(pieces.table_ranges(df, ["id"], "text", size=size), ["id"]), ["id"])
+    offsets = pieces.piece_offsets(pieces.item_places(df, ["id"], "text", size=size), ["id"])
     got: dict[int, list] = {}
     for r in offsets.orderBy("id", "piece_no").collect():
         got.setdefault(r["id"], []).append((r["end_pos"], r["cut_level"]))
@@ -44,6 +44,4 @@ def test_farthest_white_space(spark, size):
 
 def test_prose_keeps_few_places():
     t = "One two three four. " * 1000
-    found = pieces.boundaries(t, 0, len(t))
-    places = sorted({b for v in pieces.LEVELS[:2] for _, b in found[v]})
-    assert len(pieces.spaces(t, 0, len(t), REACH, places)) < 20
+    assert len(pieces.Boundaries(t).places(REACH)[2]) < 20
