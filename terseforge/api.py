@@ -32,6 +32,7 @@ def compress(df: DataFrame, key: str = "doc_id", text: str = "text", ratio: floa
     if max_tokens is not None:
         n = F.aggregate(F.transform(T.sentences(F.col("__body")), lambda s: F.size(T.tokens(s))), F.lit(0), lambda a, x: a + x)
         kept = kept.where(n <= max_tokens)
+    kept = kept.repartition(key)  # sentences, tokens and units of a text then never move
     if scorer in ("unigram", "bigram"):
         rows = U.token_rows(kept, key, F.col("__body"))
         if scorer == "unigram":

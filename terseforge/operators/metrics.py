@@ -1,8 +1,8 @@
 """Overlap metrics between pairs of texts.
 
 n-gram metrics are relational: both sides' n-grams go through one aggregation that counts each side,
-so no join is needed and partial counts are combined before the shuffle. Metrics that follow the
-order of tokens (longest common subsequence, chunked alignment) run in Arrow batches.
+so no join is needed; pairs are dealt out by key before they are cut, so no n-gram is shuffled. Metrics
+that follow the order of tokens (longest common subsequence, chunked alignment) run in Arrow batches.
 """
 
 from __future__ import annotations
@@ -33,27 +33,50 @@ def bleu_tokens(c: Column) -> Column:
     return F.filter(F.split(t, " +", -1), lambda x: x != "")
 
 
-def gram_counts(pairs: DataFrame, key: str, prediction: str, reference: str, orders: list[int], tokens: Callable[[Column], Column]) -> DataFrame:
-    """key, n, n_pred, n_ref, n_both: n-grams of each side of a pair and their clipped overlap."""
-    both = pairs.select(key, tokens(F.col(prediction)).alias("p"), tokens(F.col(reference)).alias("r"))
+def gram_hashes(toks: Column, n: int) -> Column:
+    """A 64-bit hash of every run of ``n`` tokens."""
+    last = F.size(toks) - n
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(toks, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>"))
+
+
+def gram_counts(pairs: DataFrame, key: str, prediction: str, reference: str, orders: list[int], tokens: Callable[[Column], Column], keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per pair: key, ``keep``, and for each order n: n_pred_n, n_ref_n, n_both_n (clipped overlap).
+
+    The pairs' texts are dealt out by key once; their n-grams are counted where they arise and never
+    move. A null side counts as an empty text. ``key`` must name a pair.
+    """
+    none = F.array().cast("array<string>")
+    placed = pairs.select(key, *keep, prediction, reference).repartition(key)
+    both = placed.select(key, *keep, F.coalesce(tokens(F.col(prediction)), none).alias("__p"), F.coalesce(tokens(F.col(reference)), none).alias("__r"))
 
     def marked(side: str, mine: int, n: int) -> Column:
-        return F.transform(T.ngrams(F.col(side), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(mine).alias("mine")))
+        return F.transform(gram_hashes(F.col(side), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(mine).alias("mine")))
 
-    grams = F.flatten(F.array(*[marked(side, mine, n) for n in orders for side, mine in (("p", 1), ("r", 0))]))
-    rows = both.select(key, F.explode(grams).alias("x")).select(key, "x.n", "x.g", "x.mine")
-    each = rows.groupBy(key, "n", "g").agg(F.sum("mine").alias("cp"), F.sum(1 - F.col("mine")).alias("cr"))
-    return each.groupBy(key, "n").agg(F.sum("cp").alias("n_pred"), F.sum("cr").alias("n_ref"), F.sum(F.least("cp", "cr")).alias("n_both"))
+    grams = F.flatten(F.array(*[marked(side, mine, n) for n in orders for side, mine in (("__p", 1), ("__r", 0))]))
+    rows = both.select(key, *keep, F.explode_outer(grams).alias("x")).select(key, *keep, "x.n", "x.g", "x.mine")
+    each = rows.groupBy(key, *keep, "n", "g").agg(F.sum("mine").alias("cp"), F.sum(1 - F.col("mine")).alias("cr"))
+    both_sides = F.least("cp", "cr")
+    return each.groupBy(key, *keep).agg(*[F.coalesce(F.sum(F.when(F.col("n") == n, c)), F.lit(0)).alias(f"{name}_{n}") for n in orders for name, c in (("n_pred", F.col("cp")), ("n_ref", F.col("cr")), ("n_both", both_sides))])
+
+
+def _scores(n: int) -> tuple[Column, Column, Column]:
+    """Precision, recall and f1 of an order; 0 where a side has no n-gram."""
+    p = F.coalesce(F.col(f"n_both_{n}") / F.nullif(F.col(f"n_pred_{n}"), F.lit(0)), F.lit(0.0))
+    r = F.coalesce(F.col(f"n_both_{n}") / F.nullif(F.col(f"n_ref_{n}"), F.lit(0)), F.lit(0.0))
+    return p, r, F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
 
 
 def rouge_n(pairs: DataFrame, key: str, prediction: str, reference: str, n: int) -> DataFrame:
     """key, precision, recall, f1 of the n-gram overlap; 0 where a side has none."""
     counts = gram_counts(pairs, key, prediction, reference, [n], rouge_tokens)
-    p = F.coalesce(F.col("n_both") / F.nullif(F.col("n_pred"), F.lit(0)), F.lit(0.0))
-    r = F.coalesce(F.col("n_both") / F.nullif(F.col("n_ref"), F.lit(0)), F.lit(0.0))
-    scored = counts.select(key, p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
-    none = F.lit(0.0)
-    return pairs.select(key).join(scored, key, "left").select(key, F.coalesce("precision", none).alias("precision"), F.coalesce("recall", none).alias("recall"), F.coalesce("f1", none).alias("f1"))
+    p, r, f = _scores(n)
+    return counts.select(key, p.alias("precision"), r.alias("recall"), f.alias("f1"))
+
+
+def rouge_f1(pairs: DataFrame, key: str, prediction: str, reference: str, orders: tuple[int, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, ``keep``, rouge1, rouge2, ...: f1 of several orders in one pass."""
+    counts = gram_counts(pairs, key, prediction, reference, list(orders), rouge_tokens, keep)
+    return counts.select(key, *keep, *[_scores(n)[2].alias(f"rouge{n}") for n in orders])
 
 
 def corpus_bleu(pairs: DataFrame, key: str, prediction: str, reference: str, by: list[str] | None = None, order: int = 4) -> DataFrame:
@@ -62,21 +85,17 @@ def corpus_bleu(pairs: DataFrame, key: str, prediction: str, reference: str, by:
     Counts are added over the corpus before the precisions are taken; a zero precision gives 0.
     """
     by = by or []
-    lengths = pairs.select(*by, F.size(bleu_tokens(F.col(prediction))).alias("lp"), F.size(bleu_tokens(F.col(reference))).alias("lr"))
-    total = lengths.groupBy(*by).agg(F.sum("lp").alias("pred_len"), F.sum("lr").alias("ref_len"))
-    counts = gram_counts(pairs, key, prediction, reference, list(range(1, order + 1)), bleu_tokens)
-    if by:
-        counts = counts.join(pairs.select(key, *by), key)
-    sums = counts.groupBy(*by).agg(*[F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}_{n}") for n in range(1, order + 1) for c in ("n_both", "n_pred")])
-    joined = sums.join(total, by) if by else sums.crossJoin(F.broadcast(total))  # one row each
+    counts = gram_counts(pairs, key, prediction, reference, list(range(1, order + 1)), bleu_tokens, tuple(by))
+    sums = counts.groupBy(*by).agg(*[F.coalesce(F.sum(f"{c}_{n}"), F.lit(0)).alias(f"{c}_{n}") for n in range(1, order + 1) for c in ("n_both", "n_pred", "n_ref")])
+    pred_len, ref_len = F.col("n_pred_1"), F.col("n_ref_1")
     p = [F.col(f"n_both_{n}") / F.nullif(F.col(f"n_pred_{n}"), F.lit(0)) for n in range(1, order + 1)]
-    penalty = F.when(F.col("pred_len") >= F.col("ref_len"), 1.0).when(F.col("pred_len") == 0, 0.0).otherwise(F.exp(1 - F.col("ref_len") / F.col("pred_len")))
+    penalty = F.when(pred_len >= ref_len, 1.0).when(pred_len == 0, 0.0).otherwise(F.exp(1 - ref_len / pred_len))
     found = p[0] > 0
     logs = F.ln(p[0])
     for x in p[1:]:
         found = found & (x > 0)
         logs = logs + F.ln(x)
-    return joined.select(*by, *[F.coalesce(x, F.lit(0.0)).alias(f"p{n}") for n, x in enumerate(p, 1)], penalty.alias("brevity"), F.when(F.coalesce(found, F.lit(False)), penalty * F.exp(logs / order)).otherwise(0.0).alias("bleu"))
+    return sums.select(*by, *[F.coalesce(x, F.lit(0.0)).alias(f"p{n}") for n, x in enumerate(p, 1)], penalty.alias("brevity"), F.when(F.coalesce(found, F.lit(False)), penalty * F.exp(logs / order)).otherwise(0.0).alias("bleu"))
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:

@@ -41,7 +41,7 @@ def model_tokens(sentences: DataFrame, key: str, name: str) -> DataFrame:
     return scored.select(key, "sent_idx", "pos", "x.token", "x.self_info")
 
 
-def bigram_tokens(rows: DataFrame, key: str, model: DataFrame, broadcast_rows: int = U.BROADCAST_ROWS, complete: bool = False, weight: float = U.WEIGHT) -> DataFrame:
+def bigram_tokens(rows: DataFrame, key: str, model: DataFrame, broadcast_bytes: int | None = None, complete: bool = False, weight: float = U.WEIGHT) -> DataFrame:
     """Token rows scored by their predecessor in the sentence; the table is broadcast if its size allows it.
 
     A bigram that the model has not counted backs off to the unigram part of the interpolation, with
@@ -51,14 +51,15 @@ def bigram_tokens(rows: DataFrame, key: str, model: DataFrame, broadcast_rows: i
     w = Window.partitionBy(key, "sent_idx").orderBy("pos")
     before = rows.withColumn("prev", F.coalesce(F.lag("token").over(w), F.lit("<s>")))
     counted = "n" in model.columns
-    table = U.held(model.select("prev", "token", *["n"] * (counted and not complete), "self_info"), broadcast_rows)
+    table, size = U.held(model.select("prev", "token", *["n"] * counted, "self_info"), complete)
     if complete:
-        return before.join(table, ["prev", "token"]).drop("prev")
-    found = before.join(table.select("prev", "token", "self_info"), ["prev", "token"], "left").drop("prev")
+        return U.looked_up(before, table, size, ["prev", "token"], "inner", broadcast_bytes).drop("prev")
+    found = U.looked_up(before, table, size, ["prev", "token"], "left", broadcast_bytes).drop("prev")
     if not counted:
         most = table.agg(F.coalesce(F.max("self_info"), F.lit(0.0)).alias("__floor"))  # one row
         return found.join(F.broadcast(most)).withColumn("self_info", F.coalesce("self_info", "__floor")).drop("__floor")
-    single = U.held(table.groupBy("token").agg(F.sum("n").alias("__n")), broadcast_rows)
-    total = single.agg(F.greatest(F.coalesce(F.sum("__n"), F.lit(0)) + F.count("*"), F.lit(1)).alias("__all"))  # one row
+    single, single_size = U.held(table.groupBy("token").agg(F.sum("n").alias("n")))
+    total = single.agg(F.greatest(F.coalesce(F.sum("n"), F.lit(0)) + F.count("*"), F.lit(1)).alias("__all"))  # one row
     rest = -F.ln((1 - weight) * (F.coalesce("__n", F.lit(0)) + 1) / F.col("__all"))
-    return found.join(single, "token", "left").join(F.broadcast(total)).withColumn("self_info", F.coalesce("self_info", rest)).drop("__n", "__all")
+    counts = single.select("token", "n", F.col("n").alias("__n"))
+    return U.looked_up(found, counts, single_size, ["token"], "left", broadcast_bytes).join(F.broadcast(total)).withColumn("self_info", F.coalesce("self_info", rest)).drop("__n", "__all")

@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terseforge.functions import text as T
+from terseforge.runtime import durable
 
-#: A model table of at most this many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes of a model table, as measured, up to which it is broadcast.
+BROADCAST_BYTES = 64_000_000
+#: Keys whose rows are dealt out when a larger table is joined, and reducers for each.
+HOT_KEYS, SALTS = 1000, 64
 #: Weight of the bigram in the interpolation with the unigram.
 WEIGHT = 0.7
 #: Boundary words of the default chunker: a phrase ends before and after them.
@@ -56,31 +59,50 @@ def bigram_model(rows: DataFrame, key: str, weight: float = WEIGHT) -> DataFrame
     return joined.select("prev", "token", "n", (-F.ln(p)).alias("self_info"))
 
 
-def held(model: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The model table ready to join: fetched once and broadcast if it has at most ``most`` rows, else as it is.
+def held(model: DataFrame, derived: bool = True) -> tuple[DataFrame, int]:
+    """The model table and its size in bytes; one that a plan makes is kept in the shared folder, so that it is made once."""
+    kept = durable(model) if derived else model
+    texts = [F.octet_length(f.name) for f in kept.schema if f.dataType.typeName() == "string"]
+    each = F.lit(16 * len(kept.columns))
+    for t in texts:
+        each = each + F.coalesce(t, F.lit(0))
+    return kept, int(kept.agg(F.coalesce(F.sum(each), F.lit(0)).alias("n")).first()["n"])
 
-    Fetching it, bounded, spares the plan that made it a second run.
+
+def looked_up(rows: DataFrame, table: DataFrame, size: int, keys: list[str], how: str = "inner", broadcast_bytes: int | None = None) -> DataFrame:
+    """Rows joined with a table of unique ``keys``: broadcast if its measured size allows it.
+
+    Beyond that both are shuffled, and the rows of the ``HOT_KEYS`` most counted keys, which the
+    table's column n names, are dealt out over ``SALTS`` reducers each.
     """
-    table = model.limit(most + 1).toArrow()
-    return F.broadcast(model.sparkSession.createDataFrame(table, model.schema)) if table.num_rows <= most else model
+    if size <= (BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
+        return rows.join(F.broadcast(table.drop("n")), keys, how)
+    if "n" not in table.columns:
+        return rows.join(table, keys, how)
+    hot = F.broadcast(table.orderBy(F.desc("n"), *keys).limit(HOT_KEYS).select(*keys, F.lit(True).alias("__hot")))
+    dealt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    left = rows.join(hot, keys, "left").withColumn("__salt", dealt).drop("__hot")
+    right = table.join(hot, keys, "left").withColumn("__salt", copies).drop("__hot", "n")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
-def scored(rows: DataFrame, model: DataFrame, broadcast_rows: int = BROADCAST_ROWS, complete: bool = False) -> DataFrame:
-    """Token rows with self_info. The model is broadcast only if its size, found first, allows it.
+def scored(rows: DataFrame, model: DataFrame, broadcast_bytes: int | None = None, complete: bool = False) -> DataFrame:
+    """Token rows with self_info, by ``looked_up``.
 
     A token that the model has not counted gets what add-one smoothing gives a count of zero, or, where
     the model's scores are not those of its counts, its highest self_info. ``complete`` says that the
     model was counted on these rows, so that none is missing.
     """
     counted = "n" in model.columns
-    table = held(model.select("token", *["n"] * (counted and not complete), "self_info"), broadcast_rows)
+    table, size = held(model.select("token", *["n"] * counted, "self_info"), complete)
     if complete:
-        return rows.join(table, "token")
+        return looked_up(rows, table, size, ["token"], "inner", broadcast_bytes)
     floor = F.coalesce(F.max("self_info"), F.lit(0.0))
     if counted:
         zero, each = F.ln(F.sum("n") + F.count("*")), F.col("self_info") + F.ln(F.col("n") + 1)
         floor = F.when((F.abs(F.min(each) - zero) < 1e-3) & (F.abs(F.max(each) - zero) < 1e-3), zero).otherwise(floor)
-    found = rows.join(table.select("token", "self_info"), "token", "left").join(F.broadcast(table.agg(floor.alias("__floor"))))  # one row
+    found = looked_up(rows, table, size, ["token"], "left", broadcast_bytes).join(F.broadcast(table.agg(floor.alias("__floor"))))  # one row
     return found.withColumn("self_info", F.coalesce("self_info", "__floor")).drop("__floor")
 
 
@@ -112,13 +134,47 @@ def aligned(tokens: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
     """
     ends = tokens.select(*keys, F.col("pos").alias("i"), F.col("token").alias("t"), "self_info", F.lit(1).alias("kind")).unionByName(units.select(*keys, F.col("unit").alias("i"), F.col("text").alias("t"), F.lit(None).cast("double").alias("self_info"), F.lit(0).alias("kind")))
     placed = ends.withColumn("off", F.sum(F.length("t")).over(Window.partitionBy(*keys, "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
-    ahead = Window.partitionBy(*keys).orderBy("off", "kind").rowsBetween(0, Window.unboundedFollowing)
+    # A token stands behind the units that end inside it; one order of the merged ends serves all that follows.
+    order = Window.partitionBy(*keys).orderBy("off", "kind", "i")
+    ahead, behind = order.rowsBetween(0, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, 0)
     token, unit = F.col("kind") == 1, F.col("kind") == 0
-    both = placed.withColumn("own_token", F.first(F.when(token, F.col("i")), True).over(ahead)).withColumn("own_unit", F.first(F.when(unit, F.col("i")), True).over(ahead)).withColumn("info", F.first(F.when(token, F.struct("self_info")), True).over(ahead)["self_info"])
-    shared = both.withColumn("ends_inside", F.sum(F.when(unit, 1).otherwise(0)).over(Window.partitionBy(*keys, "own_token")))
-    credit = F.when(unit, F.col("info") / F.col("ends_inside")).when(token & (F.col("ends_inside") == 0) & (F.col("t") != " "), F.col("self_info"))
-    gives = unit | (token & (F.col("ends_inside") == 0) & (F.col("t") != " "))
-    return shared.where(gives).select(*keys, F.when(unit, F.col("i")).otherwise(F.col("own_unit")).alias("unit"), credit.alias("credit")).where("unit is not null").groupBy(*keys, "unit").agg(F.avg("credit").alias("self_info"))
+    counted = placed.withColumn("units", F.sum(F.when(unit, 1).otherwise(0)).over(behind))
+    before = F.coalesce(F.last(F.when(token, F.col("units")), True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = counted.withColumn("inside", F.when(token, F.col("units") - before))
+    both = inside.withColumn("own_unit", F.first(F.when(unit, F.col("i")), True).over(ahead)).withColumn("own", F.first(F.when(token, F.struct("self_info", "inside")), True).over(ahead))
+    whole = token & (F.col("inside") == 0) & (F.col("t") != " ")
+    credit = F.when(unit, F.col("own.self_info") / F.col("own.inside")).when(whole, F.col("self_info"))
+    return both.where(unit | whole).select(*keys, F.when(unit, F.col("i")).otherwise(F.col("own_unit")).alias("unit"), credit.alias("credit")).where("unit is not null").groupBy(*keys, "unit").agg(F.avg("credit").alias("self_info"))
+
+
+def sentences_cut(sents: DataFrame, key: str) -> DataFrame:
+    """key, sent_idx, text, toks: each sentence with its tokens in the row."""
+    return sents.select(key, "sent_idx", F.col("sentence").alias("text"), T.tokens(F.col("sentence")).alias("toks"))
+
+
+def phrases_cut(sents: DataFrame, key: str, words: tuple[str, ...] = BOUNDARY_WORDS) -> DataFrame:
+    """key, sent_idx, phrase_idx, text, toks: the phrases of ``chunk_ids``, cut in the row."""
+    cut = sents.select(key, "sent_idx", T.tokens(F.col("sentence")).alias("toks"))
+
+    def is_hard(t: Column) -> Column:
+        bare = F.lower(F.trim(t))
+        return bare.isin(*words) | ~bare.rlike(r"^[\p{L}\p{N}_]")
+
+    flagged = cut.select(key, "sent_idx", "toks", F.transform("toks", is_hard).alias("hard"))
+    begun = flagged.where(F.size("toks") > 0).select(key, "sent_idx", "toks", F.filter(F.sequence(F.lit(0), F.size("toks") - 1), lambda i: (i == 0) | F.get("hard", i) | F.get("hard", i - 1)).alias("at"))
+    parts = F.transform("at", lambda b, k: F.slice("toks", b + 1, F.coalesce(F.get("at", k + 1), F.size("toks")) - b))
+    rows = begun.select(key, "sent_idx", F.posexplode(parts).alias("phrase_idx", "toks"))
+    text = F.array_join("toks", "")
+    return rows.select(key, "sent_idx", "phrase_idx", F.when((F.col("sent_idx") > 0) & (F.col("phrase_idx") == 0), F.concat(F.lit(" "), text)).otherwise(text).alias("text"), "toks")
+
+
+def unit_scores(cut: DataFrame, keys: list[str], model: DataFrame, complete: bool = False) -> DataFrame:
+    """``keys``, text, self_info of units with their tokens in the row: the mean over the tokens.
+
+    Where the units were dealt out by their document's key, no token moves.
+    """
+    tokens = scored(cut.select(*keys, "text", F.explode("toks").alias("token")), model, complete=complete)
+    return tokens.groupBy(*keys).agg(F.first("text").alias("text"), F.avg("self_info").alias("self_info"))
 
 
 def sentence_units(tokens: DataFrame, key: str) -> DataFrame:

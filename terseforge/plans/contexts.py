@@ -35,12 +35,15 @@ def scored_units(texts: DataFrame, key: str, level: str, body: str = "body", mod
     """``key`` and the array of units of a level, scored by a model table or by the texts' own unigrams."""
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}, not {level!r}")
-    rows = U.token_rows(texts, key, F.col(body))
-    tokens = U.scored(rows, U.unigram_model(rows) if model is None else model, complete=model is None)
+    placed = texts.repartition(key)  # sentences, tokens and units of a text then never move
+    rows, sents = U.token_rows(placed, key, F.col(body)), U.sentence_rows(placed, key, F.col(body))
+    complete = model is None
+    model = U.unigram_model(rows) if complete else model
     if level == "sent":
-        return U.unit_arrays(U.sentence_units(tokens, key), key, ["sent_idx"])
+        return U.unit_arrays(U.unit_scores(U.sentences_cut(sents, key), [key, "sent_idx"], model, complete), key, ["sent_idx"])
     if level == "phrase":
-        return U.unit_arrays(U.phrase_units(tokens, key), key, ["sent_idx", "phrase_idx"])
+        return U.unit_arrays(U.unit_scores(U.phrases_cut(sents, key), [key, "sent_idx", "phrase_idx"], model, complete), key, ["sent_idx", "phrase_idx"])
+    tokens = U.scored(rows, model, complete=complete)
     return U.unit_arrays(tokens.withColumnRenamed("token", "text"), key, ["sent_idx", "pos"])
 
 

@@ -19,7 +19,7 @@ from terseforge.plans import contexts as X
 from terseforge.plans import conversations as C
 from terseforge.plans import reports as R
 from terseforge.plans import tasks as K
-from terseforge.runtime import spread, table
+from terseforge.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 RATIOS = (0.2, 0.35, 0.5, 0.65, 0.8)
@@ -74,8 +74,13 @@ def _body() -> Column:
     return T.collapse(F.col("text"))
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts dealt out by their key once; sentences, tokens and units of a document then never move."""
+    return table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
+
+
 def _sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return U.sentence_rows(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", _body())
+    return U.sentence_rows(_documents(spark, sf), "doc_id", _body())
 
 
 def sentence_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,7 +92,7 @@ def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return U.token_rows(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", _body())
+    return U.token_rows(_documents(spark, sf), "doc_id", _body())
 
 
 def tokenize(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,22 +125,21 @@ def bigram_self_info(spark: SparkSession, sf: str) -> DataFrame:
     return U.bigram_model(_tokens(spark, sf), "doc_id").select("prev", "token", "n", _six("self_info").alias("self_info"))
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _tokens(spark, sf)
-    model = U.unigram_model(rows)
-    return U.scored(rows, model.withColumn("self_info", _six("self_info")), complete=True)
+def _model(spark: SparkSession, sf: str) -> DataFrame:
+    return U.unigram_model(_tokens(spark, sf)).withColumn("self_info", _six("self_info"))
 
 
 def token_units(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(spark, sf).select("doc_id", *_big("sent_idx", "pos"), "token", "self_info")
+    return U.scored(_tokens(spark, sf), _model(spark, sf), complete=True).select("doc_id", *_big("sent_idx", "pos"), "token", "self_info")
 
 
 def sent_units(spark: SparkSession, sf: str) -> DataFrame:
-    return U.sentence_units(_scored(spark, sf), "doc_id").select("doc_id", *_big("sent_idx"), "text", _mean("self_info").alias("self_info"))
+    return U.unit_scores(U.sentences_cut(_sentences(spark, sf), "doc_id"), ["doc_id", "sent_idx"], _model(spark, sf), True).select("doc_id", *_big("sent_idx"), "text", _mean("self_info").alias("self_info"))
 
 
 def phrase_units(spark: SparkSession, sf: str) -> DataFrame:
-    return U.phrase_units(_scored(spark, sf), "doc_id").select("doc_id", *_big("sent_idx", "phrase_idx"), "text", _mean("self_info").alias("self_info"))
+    cut = U.phrases_cut(_sentences(spark, sf), "doc_id")
+    return U.unit_scores(cut, ["doc_id", "sent_idx", "phrase_idx"], _model(spark, sf), True).select("doc_id", *_big("sent_idx", "phrase_idx"), "text", _mean("self_info").alias("self_info"))
 
 
 def align_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,8 +154,8 @@ def align_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 def dataset_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and mean number of sentences, phrases and tokens."""
-    chunked = U.chunk_ids(_tokens(spark, sf), "doc_id")
-    per = chunked.groupBy("doc_id", "sent_idx").agg((F.max("phrase_idx") + 1).alias("phrases"), F.count("*").alias("tokens")).groupBy("doc_id").agg(F.count("*").alias("sents"), F.sum("phrases").alias("phrases"), F.sum("tokens").alias("tokens"))
+    cut = U.phrases_cut(_sentences(spark, sf), "doc_id")
+    per = cut.groupBy("doc_id", "sent_idx").agg(F.count("*").alias("phrases"), F.sum(F.size("toks")).alias("tokens")).groupBy("doc_id").agg(F.count("*").alias("sents"), F.sum("phrases").alias("phrases"), F.sum("tokens").alias("tokens"))
     return per.agg(F.count("*").alias("n_docs"), _six(F.avg("sents")).alias("mean_sents"), _six(F.avg("phrases")).alias("mean_phrases"), _six(F.avg("tokens")).alias("mean_tokens"))
 
 
@@ -241,7 +245,7 @@ def experiment_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 def article_contexts(spark: SparkSession, sf: str) -> DataFrame:
     """Contexts of the articles' first sections: unmasked, and masked by score at sentence level."""
-    texts = X.first_sections(spread(table(spark, sf, "articles").select("row_id", "sections")))
+    texts = X.first_sections(table(spark, sf, "articles").select("row_id", "sections").repartition("row_id"))
     rows = U.token_rows(X.within_length(texts), "row_id", F.col("body"))
     model = U.unigram_model(rows).withColumn("self_info", _six("self_info"))
     made = X.generate_context(texts, "row_id", "no").unionByName(X.generate_context(texts, "row_id", "self-info", "sent", 0.35, model=model))
@@ -380,10 +384,8 @@ def ordered_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
     """ROUGE-1 and ROUGE-2 of every masked context, with its cell."""
-    pairs = _reference_pairs(spark, sf)
-    one = E.rouge_n(pairs, "context_id", "context", "reference", 1).select("context_id", F.col("f1").alias("rouge1"))
-    two = E.rouge_n(pairs, "context_id", "context", "reference", 2).select("context_id", F.col("f1").alias("rouge2"))
-    return pairs.select("context_id", "dataset", F.col("context_type").alias("method"), F.col("mask_ratio").alias("ratio")).join(one, "context_id").join(two, "context_id")
+    pairs = _reference_pairs(spark, sf).withColumnsRenamed({"context_type": "method", "mask_ratio": "ratio"})
+    return E.rouge_f1(pairs, "context_id", "context", "reference", (1, 2), ("dataset", "method", "ratio"))
 
 
 def by_ratio_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -419,9 +421,8 @@ def transpose_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 def _answer_cells(spark: SparkSession, sf: str) -> DataFrame:
     """ROUGE-1 of every answer under a masked context against the answer under the unmasked one."""
-    pairs = _answer_pairs(spark, sf)
-    scores = E.rouge_n(pairs, "answer_id", "answer", "reference", 1).select("answer_id", F.col("f1").alias("rouge1"))
-    return pairs.select("answer_id", "dataset", F.col("task_name").alias("task"), F.col("context_type").alias("method"), F.col("mask_ratio").alias("ratio")).join(scores, "answer_id")
+    pairs = _answer_pairs(spark, sf).withColumnsRenamed({"task_name": "task", "context_type": "method", "mask_ratio": "ratio"})
+    return E.rouge_f1(pairs, "answer_id", "answer", "reference", (1,), ("dataset", "task", "method", "ratio"))
 
 
 def task_ratio_table(spark: SparkSession, sf: str) -> DataFrame:

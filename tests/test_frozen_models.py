@@ -41,7 +41,7 @@ def test_scores_of_the_unseen(spark, rows):
     new = U.token_rows(spark.createDataFrame(NEW, "doc_id long, text string"), "doc_id", F.col("text"))
     counts = {r["token"]: r["n"] for r in _model(rows, "unigram").collect()}
     size = sum(counts.values()) + len(counts)
-    for broadcast in (U.BROADCAST_ROWS, 1):
+    for broadcast in (U.BROADCAST_BYTES, 0):
         one = U.scored(new, _model(rows, "unigram"), broadcast).collect()
         two = scorers.bigram_tokens(new, "doc_id", _model(rows, "bigram"), broadcast).collect()
         assert len(one) == len(two) == new.count()

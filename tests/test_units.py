@@ -93,6 +93,6 @@ def test_large_model_is_joined_the_same(spark, sf):
     rows = U.token_rows(spark.read.parquet(f"{sf}/documents.parquet").limit(20), "doc_id", F.col("text")).cache()
     model = U.unigram_model(rows)
     a = U.scored(rows, model).agg(F.sum("self_info"), F.count("*")).first()
-    b = U.scored(rows, model, broadcast_rows=1).agg(F.sum("self_info"), F.count("*")).first()
+    b = U.scored(rows, model, broadcast_bytes=0).agg(F.sum("self_info"), F.count("*")).first()
     assert a[1] == b[1] and math.isclose(a[0], b[0], rel_tol=1e-9)
     rows.unpersist()
