@@ -140,36 +140,37 @@ class Vocabulary:
         order = np.argsort(hashes)
         return cls(hashes[order], flags[order])
 
-    def find(self, word: int) -> bool | None:
-        """Whether a word is a name; None if the items have it not."""
-        k = int(np.searchsorted(self.words, np.uint64(word)))
-        return bool(self.names[k]) if k < len(self.words) and int(self.words[k]) == word else None
-
 
 class Coder:
     """Hashes and placeholder types of words, found once each; one serves a Python worker's task."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
-        self.table: dict[str, tuple[int, int]] = {}
+        self._start()
+
+    def _start(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.hashes, self.kinds = np.empty(0, np.uint64), np.empty(0, np.int8)
 
     def __call__(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.table) > 1_000_000:  # bounds the worker's memory
-            self.table = {}
-        table = self.table
-        for w in {w for w in found if w not in table}:
-            low = w.lower()
-            h = _hash(low)
-            if w[0].isdigit():
-                kind = _NUMBER
-            elif low in UNITS:
-                kind = _UNIT
-            else:
-                name = self.vocabulary.find(h)
-                kind = _NAME if name or (name is None and w[0].isupper() and len(w) > 3) else 0
-            table[w] = (h, kind)
-        pairs = [table[w] for w in found]
-        return np.array([h for h, _ in pairs], np.uint64), np.array([k for _, k in pairs], np.int8)
+        if len(self.ids) > 1_000_000:  # bounds the worker's memory
+            self._start()
+        ids = self.ids
+        new = list({w for w in found if w not in ids})
+        if new:
+            ids.update(zip(new, range(len(ids), len(ids) + len(new)), strict=True))
+            lows = [w.lower() for w in new]
+            hashes = np.fromiter(map(_hash, lows), np.uint64, len(new))
+            at = np.minimum(np.searchsorted(self.vocabulary.words, hashes), max(len(self.vocabulary.words) - 1, 0))
+            known = self.vocabulary.words[at] == hashes if len(self.vocabulary.words) else np.zeros(len(new), bool)
+            named = self.vocabulary.names[at] & known if len(known) and len(self.vocabulary.names) else known
+            capital = np.fromiter((w[0].isupper() and len(w) > 3 for w in new), bool, len(new))
+            kinds = np.where(named | (~known & capital), _NAME, 0).astype(np.int8)
+            kinds[np.fromiter((w in UNITS for w in lows), bool, len(new))] = _UNIT
+            kinds[np.fromiter((w[0].isdigit() for w in new), bool, len(new))] = _NUMBER
+            self.hashes, self.kinds = np.concatenate([self.hashes, hashes]), np.concatenate([self.kinds, kinds])
+        rows = np.fromiter(map(ids.__getitem__, found), np.int64, len(found))
+        return self.hashes[rows], self.kinds[rows]
 
 
 def vocabulary_of(texts: list[str]) -> Vocabulary:
