@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terseforge.llm.answers import defective_pairs
@@ -138,11 +138,14 @@ def p6_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     counts = token_counts(named, ["context_id", "dataset_type", "lang", "entry_id"], "context")
     per_entry = counts.groupBy("dataset_type", "lang", "entry_id").agg(F.count("*").alias("n_texts"), F.sum("n_tokens").alias("n_tokens"), F.max(F.struct("n_tokens", (-F.col("context_id")).alias("k"))).alias("longest"))
-    once = per_entry.groupBy("dataset_type", "entry_id").agg(F.max(F.struct("longest", "lang")).alias("m")).select("dataset_type", F.col("m.lang").alias("lang"), "entry_id", F.lit(1).cast("bigint").alias("n_texts"), F.col("m.longest.n_tokens").alias("n_tokens"), F.lit("source_texts").alias("scope"))
-    both = per_entry.select("dataset_type", "lang", "entry_id", "n_texts", "n_tokens", F.lit("all_rows").alias("scope")).unionByName(once)
+    # An entry comes in few languages; the one of its longest text carries the source text.
+    top = F.max(F.struct("longest", "lang")).over(Window.partitionBy("dataset_type", "entry_id"))
+    chosen = per_entry.withColumn("source_text", F.struct("longest", "lang") == top)
     domains = table(spark, sf_dir, "articles").where(F.col("primary_category").isNotNull()).groupBy("entry_id").agg(F.max_by("primary_category", F.struct("crawled_at", "row_id")).alias("domain"))
-    joined = both.join(domains, "entry_id", "left").withColumn("domain", F.coalesce("domain", F.lit("unknown")))
-    return joined.groupBy("scope", "dataset_type", "lang", "domain").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_tokens").alias("n_tokens"))
+    joined = chosen.join(domains, "entry_id", "left").withColumn("domain", F.coalesce("domain", F.lit("unknown")))
+    scopes = F.explode(F.array_compact(F.array(F.struct(F.lit("all_rows").alias("scope"), "n_texts", "n_tokens"), F.when(F.col("source_text"), F.struct(F.lit("source_texts").alias("scope"), F.lit(1).cast("bigint").alias("n_texts"), F.col("longest.n_tokens").alias("n_tokens"))))))
+    both = joined.select("dataset_type", "lang", "domain", scopes.alias("s")).select("dataset_type", "lang", "domain", "s.scope", "s.n_texts", "s.n_tokens")
+    return both.groupBy("scope", "dataset_type", "lang", "domain").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,9 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters from which a document is cut.
 CHUNK = 50_000
-_BOUNDARY = re.compile(r"(?<=\S)(?=\s)|(?<=[^\W\d_])(?=[。，！？、；：])")
+# Fixed value: white space as the tokenizer's pattern has it, which Python's own class widens by U+001C to U+001F.
+_BLANK = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_BOUNDARY = re.compile(rf"(?<=[^{_BLANK}])(?=[{_BLANK}])|(?<=[^\W\d_])(?=[。，！？、；：])")
 
 
 @lru_cache(maxsize=2)
@@ -52,42 +54,46 @@ def independent_chunks(text: str, size: int = CHUNK) -> list[str]:
     return out
 
 
-def _counted(df: DataFrame, keep: list[str], path: str) -> DataFrame:
-    """``keep`` and n_tokens of the column __t."""
-    source = df.select(*keep, "__t")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[: len(keep)]) + ", n_tokens bigint"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = encoding(path).encode_ordinary
-        for batch in batches:
-            n = [len(count(t)) if t else 0 for t in batch.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(n, pa.int64())], names=[*keep, "n_tokens"])
-
-    return source.mapInArrow(run, schema)
+def _kinds(df: DataFrame, n: int) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema[:n])
 
 
 def token_counts(df: DataFrame, keys: list[str], text: str, path: str = TOKENIZER, size: int = CHUNK) -> DataFrame:
     """``keys`` and n_tokens (bigint) of every row; ``keys`` must name a row.
 
-    A null or empty text has 0 tokens. Documents of at most ``size`` characters are counted where
-    they are read; only the chunks of longer ones move. Other columns are ignored.
+    A null or empty text has 0 tokens. The texts are read once: those of at most ``size`` characters
+    are counted there, longer ones are cut there, and only their chunks go on, dealt out over all
+    workers by a salt; their counts are summed. What the one pass gives is kept in the shared folder.
+    Other columns are ignored.
     """
     small_batches(df.sparkSession, 1000)
+    n = len(keys)
     source = df.select(*keys, F.col(text).alias("__t"))
-    short = _counted(source.where(F.coalesce(F.length("__t"), F.lit(0)) <= size), keys, path)
-    long = source.where(F.length("__t") > size)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema[: len(keys)])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = encoding(path).encode_ordinary
+        for batch in batches:
+            rows, counts, salts, chunks = [], [], [], []
+            for i, t in enumerate(batch.column(n).to_pylist()):
+                parts = independent_chunks(t, size) if t and len(t) > size else None
+                for k, part in enumerate(parts or [None]):
+                    rows.append(i)
+                    counts.append(None if parts else len(count(t)) if t else 0)
+                    salts.append(k)
+                    chunks.append(part)
+            at = pa.array(rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(n)], pa.array(counts, pa.int64()), pa.array(salts, pa.int32()), pa.array(chunks, pa.string())], names=[*keys, "n_tokens", "__salt", "__t"])
+
+    def count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = encoding(path).encode_ordinary
         for batch in batches:
-            for i, t in enumerate(batch.column(len(keys)).to_pylist()):
-                chunks = independent_chunks(t, size)
-                at = pa.array([i] * len(chunks), pa.int32())
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(len(keys))], pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.string())], names=[*keys, "__salt", "__t"])
+            found = [len(count(t)) for t in batch.column(n).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(n)], pa.array(found, pa.int64())], names=[*keys, "n_tokens"])
 
-    chunks = long.mapInArrow(cut, f"{ddl}, __salt int, __t string").repartition(*keys, "__salt")
-    summed = _counted(chunks, keys, path).groupBy(*keys).agg(F.sum("n_tokens").alias("n_tokens"))
-    return short.unionByName(summed)
+    first = durable(source.mapInArrow(read, f"{_kinds(source, n)}, n_tokens bigint, __salt int, __t string"))
+    long = first.where(F.col("__t").isNotNull()).select(*keys, "__t", "__salt").repartition(*keys, "__salt").select(*keys, "__t")
+    summed = long.mapInArrow(count_chunks, f"{_kinds(source, n)}, n_tokens bigint").groupBy(*keys).agg(F.sum("n_tokens").alias("n_tokens"))
+    return first.where(F.col("__t").isNull()).select(*keys, "n_tokens").unionByName(summed)
 
 
 def budget(counts: DataFrame, slices: list[str]) -> DataFrame:
@@ -118,7 +124,7 @@ def mixture(documents: DataFrame, targets: DataFrame, key: str = "doc_id", text:
     named = documents.select(F.col(key), canonical_source(F.col(source)).alias("source"), F.col(text).alias("__text"))
     asked = targets.select(canonical_source(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("int").alias("max_repeats")).groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     wanted = named.join(F.broadcast(asked.select("source")), "source", "left_semi")
-    counts = durable(token_counts(wanted, [key, "source"], "__text", path))
+    counts = token_counts(wanted, [key, "source"], "__text", path)
     per = counts.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("n_tokens"))
     rows = asked.join(per, "source", "left").collect()  # one row per target
     present = [r for r in rows if all((r[c] or 0) > 0 for c in ("n_tokens", "target_share", "max_repeats"))]
