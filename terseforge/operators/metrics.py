@@ -8,6 +8,7 @@ that follow the order of tokens (longest common subsequence, chunked alignment)
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -142,21 +143,89 @@ def meteor_score(prediction: list[str], reference: list[str]) -> float:
     return 10 * p * r / (r + 9 * p) * (1 - 0.5 * (chunks / m) ** 3)
 
 
-def ordered_metrics(pairs: DataFrame, key: str, prediction: str, reference: str) -> DataFrame:
-    """key, rougeL, meteor of each pair, in Arrow batches; a null side counts as an empty text."""
-    @F.pandas_udf("struct<rougeL:double,meteor:double>")
+def lcs_members(a: list[str], b: list[str]) -> set[int]:
+    """Places in ``a`` of one longest common subsequence with ``b``."""
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+    out, i, j = set(), len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            out.add(i - 1)
+            i, j = i - 1, j - 1
+        elif t[i][j - 1] > t[i - 1][j]:
+            j -= 1
+        else:
+            i -= 1
+    return out
+
+
+def _f1(hits: int, n_pred: int, n_ref: int) -> float:
+    p, r = (hits / n_pred, hits / n_ref) if hits else (0.0, 0.0)
+    return 2 * p * r / (p + r) if hits else 0.0
+
+
+def rouge_l_sum(prediction: list[list[str]], reference: list[list[str]]) -> float:
+    """F1 over lines: for each line of the reference the union of its longest common subsequences with the prediction's lines."""
+    n_pred, n_ref = sum(map(len, prediction)), sum(map(len, reference))
+    if len(prediction) == len(reference) == 1:
+        return _f1(lcs_length(prediction[0], reference[0]), n_pred, n_ref)
+    left, right = Counter(t for x in prediction for t in x), Counter(t for x in reference for t in x)
+    hits = 0
+    for line in reference:
+        for k in sorted(set().union(*(lcs_members(line, x) for x in prediction))):
+            if left[line[k]] > 0 and right[line[k]] > 0:
+                hits += 1
+                left[line[k]] -= 1
+                right[line[k]] -= 1
+    return _f1(hits, n_pred, n_ref)
+
+
+def ordered_metrics(pairs: DataFrame, key: str, prediction: str, reference: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, ``keep``, rougeL, rougeLsum, meteor of each pair, in Arrow batches; a null side counts as an empty text."""
+    @F.pandas_udf("struct<rougeL:double,rougeLsum:double,meteor:double>")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for p, r in batches:
             rows = []
             for a, b in zip(p, r, strict=True):
-                a, b = list(a), list(b)
-                n = lcs_length(a, b)
-                x, y = (n / len(a), n / len(b)) if n else (0.0, 0.0)
-                rows.append((2 * x * y / (x + y) if n else 0.0, meteor_score(a, b)))
-            yield pd.DataFrame(rows, columns=["rougeL", "meteor"])
-
-    cut = pairs.select(key, rouge_tokens(F.coalesce(prediction, F.lit(""))).alias("p"), rouge_tokens(F.coalesce(reference, F.lit(""))).alias("r"))
-    return cut.select(key, score("p", "r").alias("s")).select(key, "s.rougeL", "s.meteor")
+                a, b = [list(x) for x in a], [list(x) for x in b]
+                flat, other = [t for x in a for t in x], [t for x in b for t in x]
+                rows.append((_f1(lcs_length(flat, other), len(flat), len(other)), rouge_l_sum(a, b), meteor_score(flat, other)))
+            yield pd.DataFrame(rows, columns=["rougeL", "rougeLsum", "meteor"])
+
+    def lines(c: str) -> Column:
+        return F.transform(F.split(F.coalesce(c, F.lit("")), "\n", -1), rouge_tokens)
+
+    cut = pairs.select(key, *keep, lines(prediction).alias("__p"), lines(reference).alias("__r"))
+    return cut.select(key, *keep, score("__p", "__r").alias("s")).select(key, *keep, "s.rougeL", "s.rougeLsum", "s.meteor")
+
+
+#: What each metric of ``evaluate`` reports.
+REPORTED = {"bleu": ("bleu",), "meteor": ("meteor",), "rouge": ("rouge1", "rouge2", "rougeL", "rougeLsum")}
+
+
+def evaluate(pairs: DataFrame, key: str, prediction: str, reference: str, metrics: tuple[str, ...] = ("bleu", "meteor", "rouge"), by: list[str] | None = None) -> DataFrame:
+    """All metrics of a set of pairs in one row, or in one for each group of ``by``.
+
+    BLEU is of the corpus, the others are means over pairs. ``key`` must name a pair.
+    """
+    unknown = set(metrics) - REPORTED.keys()
+    if unknown:
+        raise ValueError(f"no metric named {sorted(unknown)}; there are {sorted(REPORTED)}")
+    by = by or []
+    parts = []
+    if "bleu" in metrics:
+        parts.append(corpus_bleu(pairs, key, prediction, reference, by).select(*by, "bleu"))
+    if "rouge" in metrics:
+        parts.append(rouge_f1(pairs, key, prediction, reference, (1, 2), tuple(by)).groupBy(*by).agg(F.avg("rouge1").alias("rouge1"), F.avg("rouge2").alias("rouge2")))
+    ordered = [c for m, names in (("rouge", ("rougeL", "rougeLsum")), ("meteor", ("meteor",))) if m in metrics for c in names]
+    if ordered:
+        parts.append(ordered_metrics(pairs, key, prediction, reference, tuple(by)).groupBy(*by).agg(*[F.avg(c).alias(c) for c in ordered]))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, by) if by else out.crossJoin(F.broadcast(part))  # one row each
+    return out.select(*by, *[c for m in metrics for c in REPORTED[m]])
 
 
 def brevity(pred: int, ref: int) -> float:

@@ -83,3 +83,13 @@ def context_scored_sentences(texts: DataFrame, key: str, body: str, model: DataF
     glued = F.transform(parts, lambda s, i: F.when(i == 0, s).otherwise(F.concat(F.lit(" "), s)))
     units = texts.select(key, F.posexplode(glued).alias("unit", "text"))
     return U.aligned(scored, units, [key])
+
+
+def conversation_contexts(articles: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
+    """conv_id, context_type, context, context_masked of conversations: "no" is the last response, "no2" the prompt.
+
+    Conversations whose whole text, the last response included, has more than ``most`` tokens drop out.
+    """
+    kept = articles.where(token_count(F.col("text")) <= most)
+    cells = F.explode(F.array(F.struct(F.lit("no").alias("context_type"), F.col("response").alias("context"), F.lit(False).alias("context_masked")), F.struct(F.lit("no2").alias("context_type"), F.col("prompt").alias("context"), F.lit(True).alias("context_masked"))))
+    return kept.select("conv_id", cells.alias("c")).select("conv_id", "c.context_type", "c.context", "c.context_masked")

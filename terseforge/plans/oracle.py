@@ -265,5 +265,18 @@ def statements() -> dict[str, str]:
         "low_score_runs": f"""WITH {LEXS}, m AS (SELECT *, quantile_cont(self_info, 0.5) OVER (PARTITION BY unit_id) AS lim, max(pos) OVER (PARTITION BY unit_id) AS e FROM ls),
  r AS (SELECT *, sum(CASE WHEN self_info < lim THEN 0 ELSE 1 END) OVER (PARTITION BY unit_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM m)
  SELECT unit_id, min(pos) AS first, max(pos) AS last, count(*) AS n FROM r WHERE self_info < lim GROUP BY unit_id, run, e HAVING max(pos) < e""",
+        "conversation_contexts": f"""WITH {TURNS}, {LINES}, {ROUNDS}, ca AS (SELECT conv_id, string_agg({_LINE}, chr(10) ORDER BY turn) AS text FROM lines JOIN rounds USING (conv_id) GROUP BY 1), {_sentences('ca', 'conv_id', 'text')},
+ cn AS (SELECT conv_id, sum(len(regexp_extract_all(sentence, {_TOK}))) AS n FROM sent GROUP BY 1), kept AS (SELECT conv_id FROM ca LEFT JOIN cn USING (conv_id) WHERE coalesce(n, 0) <= 1800)
+ SELECT conv_id, 'no' AS context_type, text AS context, false AS context_masked FROM turns JOIN rounds USING (conv_id) JOIN kept USING (conv_id) WHERE turn = last
+ UNION ALL SELECT conv_id, 'no2', coalesce(string_agg(l || chr(10), '' ORDER BY turn) FILTER (WHERE turn < last), '') || 'gpt: ', true FROM lines JOIN rounds USING (conv_id) JOIN kept USING (conv_id) GROUP BY 1""",
+        "prompts_question": f"SELECT context_id, 'Write questions about the context below, each with its answer, as a table with tabs between the columns Question and Answer and nothing else.' || {_NL} || '---' || {_NL} || context AS prompt FROM contexts WHERE context IS NOT NULL AND context_type = 'no'",
+        "question_tables": "SELECT task_name, row_number() OVER (PARTITION BY task_name ORDER BY question_id) - 1 AS place, question, question_id::VARCHAR AS answer FROM question_bank",
+        "pooled_table": f"WITH {ACELLS}, {_rouge(2, '2')} SELECT context_type AS method, round(avg(a.f1) + 1e-9, 6) AS rouge1, round(avg(b.f1) + 1e-9, 6) AS rouge2 FROM pairs JOIN rouge1 a USING (context_id) JOIN rouge2 b USING (context_id) WHERE mask_ratio = 0.35 GROUP BY 1",
+        "task_table": f"WITH {ACELLS}, {_rouge(2, '2')} SELECT context_type AS method, task_name AS task, round(avg(a.f1) + 1e-9, 6) AS rouge1, round(avg(b.f1) + 1e-9, 6) AS rouge2 FROM pairs JOIN rouge1 a USING (context_id) JOIN rouge2 b USING (context_id) WHERE mask_ratio = 0.35 AND NOT (context_type = 'no2' AND task_name = 'reconstruction') GROUP BY 1, 2",
+        "metrics_file": f"WITH {PAIRS}, r AS (SELECT dataset, context_type, mask_ratio, {_SAVED} AS reduced FROM pairs) SELECT dataset, context_type, mask_ratio, round(avg(reduced) + 1e-9, 6) AS reduced FROM r GROUP BY 1, 2, 3",
+        "conversation_file": f"WITH {TURNS}, {ROUNDS} SELECT conv_id, num_rounds, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, text FROM turns JOIN rounds USING (conv_id)",
+        "news_file": "SELECT title, link AS entry_id, content AS text FROM news",
+        "token_file": f"WITH {TOKENS}, {MODEL} SELECT token, self_info FROM model",
+        "chat_table": f"WITH {TURNS} SELECT conv_id, string_agg(role || '|' || text, chr(10) ORDER BY turn) AS chat FROM turns GROUP BY 1",
         "resume_scoring": "SELECT row_id, entry_id FROM articles a ANTI JOIN (SELECT * FROM lexical_units WHERE unit_type = 'sent') l ON l.entry_id = a.entry_id",
     }

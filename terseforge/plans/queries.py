@@ -5,6 +5,7 @@ Every query reads its tables whole. Doubles are rounded to six places, integers
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -14,12 +15,15 @@ from pyspark.sql import functions as F
 from terseforge.functions import text as T
 from terseforge.operators import masking as M
 from terseforge.operators import metrics as E
+from terseforge.operators import scorers as S
 from terseforge.operators import units as U
 from terseforge.plans import contexts as X
 from terseforge.plans import conversations as C
 from terseforge.plans import reports as R
 from terseforge.plans import tasks as K
-from terseforge.runtime import table
+from terseforge.runtime import shared_folder, table
+from terseforge.sources import readers as S_
+from terseforge.sources import writers as W
 
 Query = Callable[[SparkSession, str], DataFrame]
 RATIOS = (0.2, 0.35, 0.5, 0.65, 0.8)
@@ -468,6 +472,98 @@ def resume_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return K.pending(table(spark, sf, "articles").select("row_id", "entry_id"), table(spark, sf, "lexical_units").where("unit_type = 'sent'"), ["entry_id"])
 
 
+def conversation_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """Contexts of the conversations of at most 1,800 tokens: last response and prompt."""
+    return X.conversation_contexts(C.articles(_turns(spark, sf)))
+
+
+def prompts_question(spark: SparkSession, sf: str) -> DataFrame:
+    """What asks for questions about the unmasked contexts."""
+    return table(spark, sf, "contexts").where("context is not null and context_type = 'no'").select("context_id", K.question_prompt(F.col("context")).alias("prompt"))
+
+
+def question_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions read back from generated tables: here one table of each task's stored questions, with a broken line."""
+    rows = table(spark, sf, "question_bank").groupBy("task_name").agg(F.array_sort(F.collect_list(F.struct("question_id", "question"))).alias("q"))
+    text = F.concat(F.lit("Question\tAnswer\nbroken line\n"), F.array_join(F.transform("q", lambda x: F.concat(x["question"], F.lit("\t"), x["question_id"].cast("string"))), "\n"))
+    parsed = rows.select("task_name", F.posexplode(K.parsed_questions(text)).alias("place", "r"))
+    return parsed.select("task_name", *_big("place"), "r.question", "r.answer")
+
+
+def _at_ratio(spark: SparkSession, sf: str, ratio: float = 0.35) -> DataFrame:
+    """ROUGE-1 and ROUGE-2 of the answers under contexts of one ratio."""
+    pairs = _answer_pairs(spark, sf).where(F.col("mask_ratio") == ratio).withColumnsRenamed({"task_name": "task", "context_type": "method"})
+    return E.rouge_f1(pairs, "answer_id", "answer", "reference", (1, 2), ("task", "method"))
+
+
+def pooled_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Means over all tasks at ratio 0.35."""
+    return R.mean_by(_at_ratio(spark, sf), ["method"], ["rouge1", "rouge2"]).select("method", _mean("rouge1").alias("rouge1"), _mean("rouge2").alias("rouge2"))
+
+
+def task_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Means per task at ratio 0.35; the unmasked comparison has no reconstruction."""
+    rows = _at_ratio(spark, sf).where(~((F.col("method") == "no2") & (F.col("task") == "reconstruction")))
+    return R.mean_by(rows, ["method", "task"], ["rouge1", "rouge2"]).select("method", "task", _mean("rouge1").alias("rouge1"), _mean("rouge2").alias("rouge2"))
+
+
+def evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """All metrics of the masked contexts against the unmasked ones, by method."""
+    found = E.evaluate(_reference_pairs(spark, sf), "context_id", "context", "reference", by=["context_type"])
+    return found.select("context_type", *[_six(c).alias(c) for c in found.columns[1:]])
+
+
+def causal_self_info(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of the articles' titles scored one after the other by a causal count model of their sentences."""
+    from terseforge.operators import causal
+
+    titles = table(spark, sf, "articles").where("title is not null").select("row_id", F.col("title").alias("body")).repartition("row_id")
+    sents = U.sentence_rows(titles, "row_id", F.col("body"))
+    causal.register(sents, "counts")
+    return S.model_tokens(sents, "row_id", "counts").select("row_id", *_big("sent_idx", "pos"), "token", _six("self_info").alias("self_info"))
+
+
+# --- files: what is written must come back ---------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def metrics_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics written as CSV and read back."""
+    path = _folder(spark, "metrics")
+    W.write_metrics(reduced_ratio_means(spark, sf), path)
+    return S_.result_table(spark, path, "dataset")
+
+
+def conversation_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations written as JSON lines and read back, those of four or more rounds."""
+    path = _folder(spark, "conversations")
+    W.write_conversations(_turns(spark, sf), path)
+    return S_.conversation_lines(spark, path).select(F.col("id").cast("bigint").alias("conv_id"), *_big("num_rounds", "turn"), "role", "text")
+
+
+def news_file(spark: SparkSession, sf: str) -> DataFrame:
+    """News written as JSON lines and read back."""
+    path = _folder(spark, "news")
+    W.write_news(table(spark, sf, "news"), path)
+    return S_.news_file(spark, path)
+
+
+def token_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus model's tokens written with tabs and read back."""
+    path = _folder(spark, "tokens")
+    W.write_tokens(unigram_self_info(spark, sf), path)
+    return S_.token_file(spark, path)
+
+
+def chat_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations in the published form, each pair of role and text as one line."""
+    chats = W.chat_table(_turns(spark, sf), "conv_id")
+    return chats.select("conv_id", F.array_join(F.transform("chat", lambda x: F.array_join(x, "|")), "\n").alias("chat"))
+
+
 def html_text(spark: SparkSession, sf: str) -> DataFrame:
     from terseforge.sources.html import plain_text
 
@@ -489,6 +585,7 @@ def queries() -> dict[str, Query]:
         conversation_lines, conversation_articles, conversation_prompt, conversation_last_response, conversation_roles, conversation_units, conversation_mask,
         prompts_summarise, prompts_reconstruct, prompts_continue, prompts_qa, postprocess_answers, pending_work, generated_reconstructions, answer_pairs, bleu, ordered_metrics, by_ratio_table, method_task_avg, gap_table, gap_table_fmt, transpose_metrics, task_ratio_table, source_ratio_table, random_repair,
         unit_score_stats, heat_units, heatmap_latex, low_score_runs, resume_scoring, html_text, stream_compress,
+        conversation_contexts, prompts_question, question_tables, pooled_table, task_table, evaluation, causal_self_info, metrics_file, conversation_file, news_file, token_file, chat_table,
     )
     out: dict[str, Query] = {f.__name__: f for f in named}
     out |= {f"mask_{level}": partial(_masked, level) for level in ("sent", "phrase", "token")}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,11 +21,57 @@ def family(model: Column) -> Column:
     return F.when(m.contains("flan"), "flan").when(m.contains("vicuna"), "vicuna").when(m.rlike("gpt|alpaca|instruct"), "instruct").otherwise("base")
 
 
-def summarise_prompt(kind: Column, context: Column) -> Column:
+#: Templates by task and family; {context} and {questions} are filled in. A user's own table may replace them.
+TEMPLATES: dict[tuple[str, str], str] = {
+    ("summarisation", "flan"): "Summarize: {context}",
+    ("summarisation", "vicuna"): CHAT + " USER: Here is the text.\n----\n{context}\n----\nSummarise it in a few sentences. ASSISTANT:",
+    ("summarisation", "instruct"): "{context}\n---\nSummarise the text above.",
+    ("summarisation", "base"): "{context}\nTl;dr",
+    ("questions", ""): "Write questions about the context below, each with its answer, as a table with tabs between the columns Question and Answer and nothing else.\n---\n{context}",
+    ("qa", "flan"): "Passage: {context}\nQuestions: {questions}\nAnswers:",
+    ("qa", "vicuna"): CHAT + " USER: Passage:\n{context}\nAnswer these questions:\n{questions} ASSISTANT:",
+    ("qa", "instruct"): "{context}\nAnswer these questions about the passage:\n{questions}:\n",
+    ("qa", "base"): "{context}\nA reader answers these questions about the passage:\n{questions}\nThe answers are:\n",
+    ("reconstruction", ""): "Parts of the text were left out. Rebuild the original text.\n---\n{context}",
+    ("reconstruction", "vicuna"): CHAT + " USER: Parts of the text were left out. Rebuild the original text.\n{context} ASSISTANT: The original text is:",
+    ("reconstruction", "base"): "Noisy paragraph:\n{context}\nThe original paragraph:\n",
+    ("continue", ""): CHAT + "\n{context}",
+}
+
+
+def prompt(task: str, kind: Column, templates: dict[tuple[str, str], str] | None = None, **slots: Column) -> Column:
+    """The prompt of a task for each row's family; a family without a template takes the task's own ("")."""
+    own = {family: t for (name, family), t in (TEMPLATES if templates is None else templates).items() if name == task}
+    if not own:
+        raise ValueError(f"no template for the task {task!r}")
+
+    def filled(template: str) -> Column:
+        parts = [slots[p[1:-1]] if p[:1] == "{" and p[1:-1] in slots else F.lit(p) for p in re.split(r"(\{\w+\})", template) if p]
+        return F.concat(*parts)
+
+    default = own.pop("", None)
+    out = F.lit(None).cast("string") if default is None else filled(default)
+    for family_, t in own.items():
+        out = F.when(kind == family_, filled(t)).otherwise(out)
+    return out
+
+
+def summarise_prompt(kind: Column, context: Column, templates: dict[tuple[str, str], str] | None = None) -> Column:
     """Prompt of the summary task."""
-    chat = F.concat(F.lit(CHAT + " USER: Here is the text.\n----\n"), context, F.lit("\n----\nSummarise it in a few sentences. ASSISTANT:"))
-    instruct = F.concat(context, F.lit("\n---\nSummarise the text above."))
-    return F.when(kind == "flan", F.concat(F.lit("Summarize: "), context)).when(kind == "vicuna", chat).when(kind == "instruct", instruct).otherwise(F.concat(context, F.lit("\nTl;dr")))
+    return prompt("summarisation", kind, templates, context=context)
+
+
+def question_prompt(context: Column, templates: dict[tuple[str, str], str] | None = None) -> Column:
+    """Prompt that asks for questions with their answers; the same for all families."""
+    return prompt("questions", F.lit(""), templates, context=context)
+
+
+def parsed_questions(answer: Column) -> Column:
+    """array<struct<question, answer>> of a generated table; lines of another form drop out, a text without the header is null."""
+    lines = F.split(F.replace(answer, F.lit("\r\n"), F.lit("\n")), "\n", -1)
+    fields = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.split(x, "\t", -1))
+    rows = F.transform(F.filter(fields, lambda x: F.size(x) == 2), lambda x: F.struct(x[0].alias("question"), x[1].alias("answer")))
+    return F.when(F.get(lines, F.lit(0)) == "Question\tAnswer", rows)
 
 
 def numbered(questions: Column) -> Column:
@@ -32,24 +79,19 @@ def numbered(questions: Column) -> Column:
     return F.array_join(F.transform(questions, lambda q, i: F.concat((i + 1).cast("string"), F.lit(". "), q)), "\n")
 
 
-def answer_prompt(kind: Column, context: Column, questions: Column) -> Column:
+def answer_prompt(kind: Column, context: Column, questions: Column, templates: dict[tuple[str, str], str] | None = None) -> Column:
     """Prompt of the answering task; ``questions`` is the numbered text."""
-    chat = F.concat(F.lit(CHAT + " USER: Passage:\n"), context, F.lit("\nAnswer these questions:\n"), questions, F.lit(" ASSISTANT:"))
-    instruct = F.concat(context, F.lit("\nAnswer these questions about the passage:\n"), questions, F.lit(":\n"))
-    base = F.concat(context, F.lit("\nA reader answers these questions about the passage:\n"), questions, F.lit("\nThe answers are:\n"))
-    return F.when(kind == "flan", F.concat(F.lit("Passage: "), context, F.lit("\nQuestions: "), questions, F.lit("\nAnswers:"))).when(kind == "vicuna", chat).when(kind == "instruct", instruct).otherwise(base)
+    return prompt("qa", kind, templates, context=context, questions=questions)
 
 
-def reconstruct_prompt(kind: Column, context: Column) -> Column:
+def reconstruct_prompt(kind: Column, context: Column, templates: dict[tuple[str, str], str] | None = None) -> Column:
     """Prompt of the reconstruction task."""
-    ask = "Parts of the text were left out. Rebuild the original text."
-    chat = F.concat(F.lit(CHAT + " USER: " + ask + "\n"), context, F.lit(" ASSISTANT: The original text is:"))
-    return F.when(kind == "vicuna", chat).when(kind == "base", F.concat(F.lit("Noisy paragraph:\n"), context, F.lit("\nThe original paragraph:\n"))).otherwise(F.concat(F.lit(ask + "\n---\n"), context))
+    return prompt("reconstruction", kind, templates, context=context)
 
 
-def continue_prompt(context: Column) -> Column:
+def continue_prompt(context: Column, templates: dict[tuple[str, str], str] | None = None) -> Column:
     """Prompt of the conversation task."""
-    return F.concat(F.lit(CHAT + "\n"), context)
+    return prompt("continue", F.lit(""), templates, context=context)
 
 
 def clean_answer(kind: Column, task: Column, answer: Column) -> Column:

@@ -15,15 +15,20 @@ QUESTIONS = "Question string, Answer string"
 
 def article_files(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Articles of a folder of JSON files, one object each; ``limit`` counts files in order of name."""
-    rows = spark.read.schema(ARTICLE).option("multiLine", True).option("encoding", "UTF-8").option("pathGlobFilter", "*.json").json(path).withColumn("file", F.input_file_name())
-    return rows if limit is None else rows.orderBy("file").limit(limit)
+    paths: str | list[str] = path
+    if limit is not None:  # only the listed files are read
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select("path").orderBy("path").limit(limit)
+        paths = [r["path"] for r in listed.collect()]
+        if not paths:
+            return spark.createDataFrame([], ARTICLE + ", file string")
+    return spark.read.schema(ARTICLE).option("multiLine", True).option("encoding", "UTF-8").option("pathGlobFilter", "*.json").json(paths).withColumn("file", F.input_file_name())
 
 
 def news_file(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """News with the link as entry_id; parquet or JSON lines by the path's ending."""
     rows = spark.read.parquet(path) if path.rstrip("/").endswith("parquet") else spark.read.schema(NEWS).json(path)
     named = rows.select("title", F.col("link").alias("entry_id"), F.col("content").alias("text"))
-    return named if limit is None else named.limit(limit)
+    return named if limit is None else named.orderBy("entry_id", "title", "text").limit(limit)
 
 
 def conversation_lines(spark: SparkSession, path: str, limit: int | None = None, least_rounds: int = 4, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -82,3 +87,8 @@ def main_tex(files: DataFrame, doc: str, name: str) -> DataFrame:
 def role_of(c: Column) -> Column:
     """A role without the spellings it is delivered in."""
     return F.lower(F.trim(c))
+
+
+def token_file(spark: SparkSession, path: str) -> DataFrame:
+    """token and self_info of a tab-separated file; tokens keep their blanks and line ends."""
+    return spark.read.schema("token string, self_info double").options(sep="\t", escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
