@@ -337,7 +337,7 @@ def document_languages(df: DataFrame, key: str, text: str, lang: str, path: str
     ``sample`` may name another table of the same columns to fit the model on.
     """
     spark = df.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     texts, labels = labelled_sample(df if sample is None else sample, key, text, lang)
     probs = fit(texts, labels, path)
     model = spark.sparkContext.broadcast(probs)  # bounded by the vocabulary

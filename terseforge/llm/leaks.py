@@ -235,7 +235,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", text:
     short texts share nothing; empty tables give no rows. A document that comes twice is reported
     twice in the narrow pass, once a key in the shuffled one. Other columns are ignored.
     """
-    small_batches(documents.sparkSession, 1000)
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col(doc_key), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
     asked = items.select(F.col(item_key), F.col(item_text).alias("__text")).where(F.col("__text").isNotNull())
     chars = asked.agg(F.coalesce(F.sum(F.length("__text")), F.lit(0)).alias("n")).first()["n"]

@@ -556,7 +556,7 @@ def redacted(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def _found(df: DataFrame, keys: list[str], text: str, replace: bool) -> DataFrame:
     spark = df.sparkSession
-    small_batches(spark, 2000)
+    small_batches(spark)
     field = spark.sparkContext.broadcast(train())  # bounded by the labelled table
     source = df.select(*keys, F.col(text).alias("__t"))
     if not replace:
