@@ -16,12 +16,13 @@ from terseforge.operators import units as U
 LEVELS = ("sent", "phrase", "token")
 
 
-def compress(df: DataFrame, key: str = "doc_id", text: str = "text", ratio: float = 0.35, level: str = "phrase", scorer: str = "unigram", model: DataFrame | None = None, max_tokens: int | None = None, lead: int = 0, mark: str = "") -> DataFrame:
+def compress(df: DataFrame, key: str = "doc_id", text: str = "text", ratio: float = 0.35, level: str = "phrase", scorer: str = "unigram", model: DataFrame | None = None, max_tokens: int | None = None, lead: int = 0, mark: str = "", lang: str = "en") -> DataFrame:
     """``key``, context, masked_units, reduced: every text without its least informative units.
 
     ``ratio`` is a share of units, not of characters. ``scorer`` is "unigram", "bigram" or a
     registered model; ``model`` is a frozen table of the first two, and without it one is counted
-    from ``df`` itself. Words that the table has not counted get the score of a count of zero. Texts of more than ``max_tokens`` tokens, null and blank ones drop out.
+    from ``df`` itself. Words that the table has not counted get the score of a count of zero. ``lang`` chooses the words at which phrases end.
+    Texts of more than ``max_tokens`` tokens, null and blank ones drop out.
     """
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}, not {level!r}")
@@ -44,7 +45,7 @@ def compress(df: DataFrame, key: str = "doc_id", text: str = "text", ratio: floa
     if level == "sent":
         arrays = U.unit_arrays(U.sentence_units(tokens, key), key, ["sent_idx"])
     elif level == "phrase":
-        arrays = U.unit_arrays(U.phrase_units(tokens, key), key, ["sent_idx", "phrase_idx"])
+        arrays = U.unit_arrays(U.phrase_units(tokens, key, lang=lang), key, ["sent_idx", "phrase_idx"])
     else:
         arrays = U.unit_arrays(tokens.withColumnRenamed("token", "text"), key, ["sent_idx", "pos"])
     units = F.col("units")
@@ -55,12 +56,12 @@ def compress(df: DataFrame, key: str = "doc_id", text: str = "text", ratio: floa
 class TextCompressor:
     """Compresses single texts: ``TextCompressor(spark)(text) -> (context, masked units)``."""
 
-    def __init__(self, spark: SparkSession, scorer: str = "unigram", model: DataFrame | None = None) -> None:
-        self.spark, self.scorer, self.model = spark, scorer, model
+    def __init__(self, spark: SparkSession, scorer: str = "unigram", model: DataFrame | None = None, lang: str = "en") -> None:
+        self.spark, self.scorer, self.model, self.lang = spark, scorer, model, lang
 
     def __call__(self, text: str, ratio: float = 0.35, level: str = "phrase") -> tuple[str, list[str]]:
         df = self.spark.createDataFrame([(0, text)], "doc_id long, text string")
-        row = compress(df, ratio=ratio, level=level, scorer=self.scorer, model=self.model).first()
+        row = compress(df, ratio=ratio, level=level, scorer=self.scorer, model=self.model, lang=self.lang).first()
         return (row["context"], list(row["masked_units"])) if row else ("", [])
 
 
@@ -72,10 +73,11 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--ratio", type=float, default=0.35)
     p.add_argument("--level", choices=LEVELS, default="phrase")
     p.add_argument("--scorer", default="unigram")
+    p.add_argument("--lang", default="en")
     a = p.parse_args(argv)
     from terseforge.runtime import session
 
-    context, masked = TextCompressor(session(), a.scorer)(Path(a.file).read_text(encoding="utf-8"), a.ratio, a.level)
+    context, masked = TextCompressor(session(), a.scorer, lang=a.lang)(Path(a.file).read_text(encoding="utf-8"), a.ratio, a.level)
     if a.out:
         Path(a.out).write_text(context, encoding="utf-8")
     else:

@@ -24,6 +24,19 @@ WEIGHT = 0.7
 BOUNDARY_WORDS = ("the", "a", "an", "and", "or", "but", "of", "in", "on", "at", "to", "for", "from", "with", "by", "as", "is", "are", "was", "were", "that", "which", "while", "although", "if", "we", "it", "they", "he", "she", "not")
 
 
+#: Boundary words of the other languages with noun phrases between blanks; "plain" languages have none:
+#: there every token is a phrase.
+BOUNDARY_WORDS_OF = {
+    "en": BOUNDARY_WORDS,
+    "de": tuple("der die das den dem des ein eine einen einem einer und oder aber von in im an am auf zu zum zur für mit bei aus als ist sind war waren dass während obwohl wenn wir es sie er nicht".split()),
+    "fr": tuple("le la les un une des et ou mais de du dans sur à au aux pour par avec est sont était étaient que qui bien si nous il elle ils elles ne pas".split()),
+    "es": tuple("el la los las un una unos unas y o pero de del en a al para por con como es son era eran que aunque si nosotros ello ellos él ella no".split()),
+    "pt": tuple("o a os as um uma uns umas e ou mas de do da dos das em no na para por com como é são era eram que embora se nós ele ela eles elas não".split()),
+    "ru": tuple("и или но в на к от для из с со по у о об как это был была были что который хотя если мы они он она не".split()),
+}
+PLAIN_LANGUAGES = ("zh", "ja")
+
+
 def sentence_rows(df: DataFrame, key: str, text: Column) -> DataFrame:
     """key, sent_idx, sentence."""
     return df.select(key, F.posexplode(T.sentences(text)).alias("sent_idx", "sentence"))
@@ -183,9 +196,15 @@ def sentence_units(tokens: DataFrame, key: str) -> DataFrame:
     return made.select(key, "sent_idx", F.array_join(F.transform("u", lambda x: x["token"]), "").alias("text"), "self_info")
 
 
-def phrase_units(tokens: DataFrame, key: str, chunker: str = "boundary") -> DataFrame:
-    """key, sent_idx, phrase_idx, text, self_info; later sentences' first phrases get a blank in front."""
-    made = CHUNKERS[chunker](tokens, key).groupBy(key, "sent_idx", "phrase_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("u"), F.avg("self_info").alias("self_info"))
+def phrase_units(tokens: DataFrame, key: str, chunker: str = "boundary", lang: str = "en") -> DataFrame:
+    """key, sent_idx, phrase_idx, text, self_info; later sentences' first phrases get a blank in front.
+
+    ``lang`` names the boundary words; in a language of ``PLAIN_LANGUAGES`` every token is a phrase.
+    """
+    if lang not in BOUNDARY_WORDS_OF and lang not in PLAIN_LANGUAGES:
+        raise ValueError(f"no chunker for the language {lang!r}; there are {sorted([*BOUNDARY_WORDS_OF, *PLAIN_LANGUAGES])}")
+    cut = CHUNKERS["plain" if lang in PLAIN_LANGUAGES else chunker](tokens, key, BOUNDARY_WORDS_OF.get(lang, ()))
+    made = cut.groupBy(key, "sent_idx", "phrase_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("u"), F.avg("self_info").alias("self_info"))
     text = F.array_join(F.transform("u", lambda x: x["token"]), "")
     return made.select(key, "sent_idx", "phrase_idx", F.when((F.col("sent_idx") > 0) & (F.col("phrase_idx") == 0), F.concat(F.lit(" "), text)).otherwise(text).alias("text"), "self_info")
 

@@ -6,10 +6,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from terseforge.functions import text as T
+from terseforge.runtime import small_batches
 
 CHAT = "A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the user's questions."
 FAMILIES = ("flan", "vicuna", "instruct", "base")
@@ -114,15 +117,18 @@ GENERATORS: dict[str, Callable[[pd.Series], pd.Series]] = {"identity": identity}
 
 
 def generated(prompts: DataFrame, prompt: str, model: str = "identity", out: str = "answer") -> DataFrame:
-    """Prompts with their answers, in Arrow batches, by a registered generator."""
+    """Prompts with their answers, in Arrow batches, by a registered generator; other columns stay as they are."""
     make = GENERATORS[model]
+    small_batches(prompts.sparkSession)
+    at = prompts.columns.index(prompt)
+    schema = StructType([*prompts.schema.fields, StructField(out, StringType())])
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield make(batch)
+            said = pa.array(make(batch.column(at).to_pandas()).tolist(), pa.string(), from_pandas=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, said], names=[*batch.schema.names, out])
 
-    return prompts.withColumn(out, run(prompt))
+    return prompts.mapInArrow(run, schema)
 
 
 def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -51,11 +51,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+#: Rows and bytes of an Arrow batch, the same for every operator, so that no query changes another's.
+BATCH_ROWS, BATCH_BYTES = 1000, "64m"
+
+
+def small_batches(spark: SparkSession) -> None:
     """Bound the rows and bytes of an Arrow batch, so that long texts never fill a Python worker."""
     reachable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_folder(spark: SparkSession) -> str:
