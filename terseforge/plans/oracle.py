@@ -277,6 +277,9 @@ def statements() -> dict[str, str]:
         "conversation_file": f"WITH {TURNS}, {ROUNDS} SELECT conv_id, num_rounds, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, text FROM turns JOIN rounds USING (conv_id)",
         "news_file": "SELECT title, link AS entry_id, content AS text FROM news",
         "token_file": f"WITH {TOKENS}, {MODEL} SELECT token, self_info FROM model",
+        "article_file": "SELECT entry_id, published, title, primary_category, text, array_to_string(authors, '|') AS authors, array_to_string(categories, '|') AS categories FROM articles",
+        "question_file": "SELECT task_name, string_agg(question, '|' ORDER BY question_id) AS questions, string_agg(question_id::VARCHAR, '|' ORDER BY question_id) AS answers FROM question_bank GROUP BY 1",
+        "compress_tokens": f"WITH {SCORED}, tu AS (SELECT doc_id, sent_idx, pos, token AS text, self_info FROM scored), made AS (WITH {_mask('tu', 'u.sent_idx, u.pos', '')}) SELECT doc_id, context, n_masked, round(greatest(length(body) - length(context), 0) / nullif(length(body), 0)::DOUBLE, 6) AS reduced FROM made JOIN docs USING (doc_id)",
         "chat_table": f"WITH {TURNS} SELECT conv_id, string_agg(role || '|' || text, chr(10) ORDER BY turn) AS chat FROM turns GROUP BY 1",
         "resume_scoring": "SELECT row_id, entry_id FROM articles a ANTI JOIN (SELECT * FROM lexical_units WHERE unit_type = 'sent') l ON l.entry_id = a.entry_id",
     }

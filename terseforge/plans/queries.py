@@ -12,6 +12,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terseforge.api import compress
 from terseforge.functions import text as T
 from terseforge.operators import masking as M
 from terseforge.operators import metrics as E
@@ -558,6 +559,28 @@ def token_file(spark: SparkSession, sf: str) -> DataFrame:
     return S_.token_file(spark, path)
 
 
+def article_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles written as JSON lines and read back."""
+    path = _folder(spark, "articles")
+    W.write_articles(table(spark, sf, "articles").select("entry_id", "published", "title", "authors", "primary_category", "categories", "text"), path)
+    lists = [F.array_join(c, "|").alias(c) for c in ("authors", "categories")]
+    return S_.article_files(spark, path, lines=True).select("entry_id", "published", "title", "primary_category", "text", *lists)
+
+
+def question_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions written as one tab-separated file for each task and read back in order."""
+    path = _folder(spark, "questions")
+    W.write_questions(table(spark, sf, "question_bank").withColumn("answer", F.col("question_id").cast("string")), path, "task_name", "question_id")
+    found = S_.question_files(spark, f"{path}/*")
+    return found.select(F.regexp_extract("file", "task_name=([^/]+)", 1).alias("task_name"), F.array_join("questions", "|").alias("questions"), F.array_join("answers", "|").alias("answers"))
+
+
+def compress_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """The public entry: every document without its least informative tokens, under a frozen model."""
+    made = compress(table(spark, sf, "documents"), "doc_id", "text", 0.35, "token", model=_model(spark, sf))
+    return made.select("doc_id", "context", F.size("masked_units").cast("bigint").alias("n_masked"), _six("reduced").alias("reduced"))
+
+
 def chat_table(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations in the published form, each pair of role and text as one line."""
     chats = W.chat_table(_turns(spark, sf), "conv_id")
@@ -585,7 +608,7 @@ def queries() -> dict[str, Query]:
         conversation_lines, conversation_articles, conversation_prompt, conversation_last_response, conversation_roles, conversation_units, conversation_mask,
         prompts_summarise, prompts_reconstruct, prompts_continue, prompts_qa, postprocess_answers, pending_work, generated_reconstructions, answer_pairs, bleu, ordered_metrics, by_ratio_table, method_task_avg, gap_table, gap_table_fmt, transpose_metrics, task_ratio_table, source_ratio_table, random_repair,
         unit_score_stats, heat_units, heatmap_latex, low_score_runs, resume_scoring, html_text, stream_compress,
-        conversation_contexts, prompts_question, question_tables, pooled_table, task_table, evaluation, causal_self_info, metrics_file, conversation_file, news_file, token_file, chat_table,
+        conversation_contexts, prompts_question, question_tables, pooled_table, task_table, evaluation, causal_self_info, metrics_file, conversation_file, news_file, token_file, chat_table, article_file, question_file, compress_tokens,
     )
     out: dict[str, Query] = {f.__name__: f for f in named}
     out |= {f"mask_{level}": partial(_masked, level) for level in ("sent", "phrase", "token")}

@@ -13,15 +13,18 @@ CONVERSATION = "id string, conversations array<struct<`from`: string, value: str
 QUESTIONS = "Question string, Answer string"
 
 
-def article_files(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Articles of a folder of JSON files, one object each; ``limit`` counts files in order of name."""
+def article_files(spark: SparkSession, path: str, limit: int | None = None, lines: bool = False) -> DataFrame:
+    """Articles of a folder of JSON files, one object each; ``limit`` counts files in order of name.
+
+    With ``lines`` every line is an object, as ``write_articles`` has them.
+    """
     paths: str | list[str] = path
     if limit is not None:  # only the listed files are read
         listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select("path").orderBy("path").limit(limit)
         paths = [r["path"] for r in listed.collect()]
         if not paths:
             return spark.createDataFrame([], ARTICLE + ", file string")
-    return spark.read.schema(ARTICLE).option("multiLine", True).option("encoding", "UTF-8").option("pathGlobFilter", "*.json").json(paths).withColumn("file", F.input_file_name())
+    return spark.read.schema(ARTICLE).option("multiLine", not lines).option("encoding", "UTF-8").option("pathGlobFilter", "*.json").json(paths).withColumn("file", F.input_file_name())
 
 
 def news_file(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

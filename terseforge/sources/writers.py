@@ -75,3 +75,9 @@ def performance_lines(metrics: DataFrame, keys: list[str]) -> list[str]:
     """One line per cell of a small table of metrics, for the log of an experiment."""
     rows = metrics.orderBy(*keys).limit(10_000).collect()
     return [" ".join(f"{k}={r[k]}" for k in keys) + ": " + ", ".join(f"{c} {r[c]:.4f}" if isinstance(r[c], float) else f"{c} {r[c]}" for c in metrics.columns if c not in keys) for r in rows]
+
+
+def write_questions(questions: DataFrame, path: str, by: str, order: str) -> None:
+    """Tab-separated files of Question and Answer, one for each value of ``by``, in its folder, in ``order``."""
+    placed = questions.repartition(by).sortWithinPartitions(by, order)
+    placed.select(by, F.col("question").alias("Question"), F.col("answer").alias("Answer")).write.mode("overwrite").option("sep", "\t").option("header", True).partitionBy(by).csv(path)
