@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terseforge.operators import scorers
+from terseforge.runtime import hashed_sample
 
 #: Sentences that the model is counted on at most, and characters of each.
 SAMPLE, SAMPLE_CHARS = 20_000, 2_000
@@ -62,8 +63,8 @@ class CausalCounts:
 
 def register(sentences: DataFrame, name: str = "counts", sentence: str = "sentence", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> CausalCounts:
     """Counts a model on a bounded sample of sentences and registers it under ``name``."""
-    drawn = sentences.select(F.substring(sentence, 1, chars).alias("s")).where("s is not null").orderBy(F.xxhash64("s"), "s").limit(sample)
-    model = CausalCounts(sorted(r["s"] for r in drawn.collect()))  # bounded by sample and chars
+    said = sentences.select(F.substring(sentence, 1, chars).alias("s")).where("s is not null")
+    model = CausalCounts(sorted(r["s"] for r in hashed_sample(said, "s", sample, said.count())))  # bounded by sample and chars
     held = sentences.sparkSession.sparkContext.broadcast(model)
     scorers.register(name, lambda: held.value.score)
     return model
