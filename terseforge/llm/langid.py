@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terseforge.llm.sentences import sentence_spans
-from terseforge.runtime import small_batches
+from terseforge.runtime import hashed_sample, small_batches
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru", "zh", "ja")
 #: Bounds of the labelled sample that the piece probabilities are fitted on.
@@ -288,9 +288,10 @@ def scorer(path: str, probs: np.ndarray) -> Scorer:
 
 def labelled_sample(df: DataFrame, key: str, text: str, lang: str, docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
     """A bounded sample of rows whose label names one of the languages, by the hash of their key."""
-    named = df.select(F.xxhash64(key).alias("__h"), F.col(key).alias("__k"), F.lower(F.substring(F.trim(lang), 1, 2)).alias("__l"), F.substring(text, 1, chars).alias("__t"))
-    drawn = named.where(F.col("__l").isin(*LANGUAGES) & F.col("__t").isNotNull()).orderBy("__h", "__k").limit(docs)  # one scan, the least hashes of each task
-    rows = sorted(drawn.collect(), key=lambda r: (r["__h"], r["__k"]))  # bounded by docs and chars
+    label = F.lower(F.substring(F.trim(lang), 1, 2))
+    n = df.where(label.isin(*LANGUAGES)).count()  # reads the labels only
+    named = df.select(F.col(key).alias("__k"), label.alias("__l"), F.substring(text, 1, chars).alias("__t")).where(F.col("__l").isin(*LANGUAGES) & F.col("__t").isNotNull())
+    rows = hashed_sample(named, "__k", docs, n)  # bounded by docs and chars
     return [r["__t"] for r in rows], [LANGUAGES.index(r["__l"]) for r in rows]
 
 
